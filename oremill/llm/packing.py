@@ -52,7 +52,8 @@ class ByteBpe:
         merged = [vocab["".join(m.split(" ", 1) if isinstance(m, str) else m)] for m in model["model"]["merges"]]
         special = {t["content"]: t["id"] for t in model["added_tokens"] if t["special"]}
         plain = {t: i for t, i in vocab.items() if t not in special}
-        if merged != sorted(merged) or any(len(t) > 1 and i < min(merged) for t, i in plain.items()):
+        first = min(merged)
+        if merged != sorted(merged) or any(len(t) > 1 and i < first for t, i in plain.items()):
             self.fast = None
         else:
             self.fast = tiktoken.Encoding("oremill", pat_str=PATTERN, mergeable_ranks={bytes(byte[c] for c in t): i for t, i in plain.items()}, special_tokens=special)
