@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import base, exact_dedup, minhash, packing, sentencepiece_codec, sharding, token_counts, url_filter
+from . import base, exact_dedup, fingerprint, minhash, packing, sentencepiece_codec, sharding, token_counts, url_filter
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(base.read(spark, sf_dir, "documents"))
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.compare_edited(base.read(spark, sf_dir, "documents"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.interleave(base.read(spark, sf_dir, "documents"), shards=8)
 
@@ -48,6 +52,6 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(base.read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op3_sentencepiece, op4_minhash, op6_sharding, op7_url_filter, op9_best_fit_packing, op10_token_counts)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op3_sentencepiece, op4_minhash, op5_fingerprints, op6_sharding, op7_url_filter, op9_best_fit_packing, op10_token_counts)}
 
 ORACLES: dict[str, str] = {"op1_exact_dedup": exact_dedup.ORACLE}
