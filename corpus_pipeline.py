@@ -1,12 +1,45 @@
-"""The corpus pipeline: documents in, training sequences out."""
+"""The corpus pipeline: documents in, training sequences out.
+
+Quality classifier, toxicity filter, exact deduplication, near-duplicate removal, best-fit packing. Each stage works on
+all that its predecessor kept; all but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from oremill.llm import base
+from oremill.llm import base, exact_dedup, minhash, packing, quality, queries, toxicity
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the co-trained classifier finds good (a chance of 0.5 or more)."""
+    return quality.keep_good(docs, quality.fit(docs, base.read(spark, sf_dir, "labels")), at=0.5)
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity is under 0.7."""
+    return toxicity.keep_clean(docs, toxicity.fit(docs, queries.learnable(base.read(spark, sf_dir, "labels"))), at=0.7)
+
+
+def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts."""
+    return exact_dedup.keep_first(docs)
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates."""
+    return minhash.keep_one(docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents and their places in sequences of 1024 tokens."""
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2, capacity=1024)
+
+
+STAGES = [("quality", quality_stage), ("toxicity", toxicity_stage), ("exact_dedup", exact_stage), ("near_dedup", near_stage), ("packing", packing_stage)]
 
-STAGES: list = []
+#: Classifiers, sketches and tokenizers can't be written in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 

@@ -83,11 +83,14 @@ class Linear:
     slope: float = 1.0
     shift: float = 0.0
 
-    def fit(self, x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 300) -> None:
+    def fit(self, x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 120) -> None:
         mean, scale = x.mean(0), x.std(0) + 0.02
-        z = (x - mean) / scale
+        z = ((x - mean) / scale).astype(np.float32)
+        top = np.ones(z.shape[1], np.float32)
+        for _ in range(12):  # the largest singular value bounds the step
+            top = z.T @ (z @ (top / np.linalg.norm(top)))
         w, b, v, u = np.zeros(z.shape[1]), 0.0, np.zeros(z.shape[1]), 0.0
-        rate = 4.0 / (np.linalg.norm(z, 2) ** 2 / len(z) + 1)
+        rate = 3.0 / (float(np.linalg.norm(top)) / len(z) + 1)
         for k in range(steps):
             momentum = k / (k + 3)
             w_ahead, b_ahead = w + momentum * v, b + momentum * u

@@ -1,10 +1,12 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
 1. Examples: at most EXAMPLES labelled rows of each label, the first by hash of id (a documented bound; texts are
-   whole). Terms are words and the character n-grams of words (NGRAMS, with word ends); the vocabulary is the at
+   whole). Terms are words and the character n-grams of words (NGRAMS, with word ends), and
+   for each a second term that stands for its occurring twice or more; the vocabulary is the at
    most VOCABULARY terms whose document counts in the examples depend on the label most (chi-square).
 2. Document frequencies of the vocabulary are counted over all documents. A text's vector has
-   (1 + ln tf) * (1 + ln((N + 1) / (df + 1))) by term, and length one.
+   (1 + ln tf) * (1 + ln((N + 1) / (df + 1))) by term, BACKGROUND for a term that every text has (so that a cosine
+   also tells few terms from many), and length one.
 3. Index: examples in blocks of BLOCK, ordered so that like ones lie together; for each term and block a posting
    list and the largest weight in it. A query sums the largest weights to a bound on every block's scores, scores
    blocks exactly in the order of their bounds, a few at a time, and stops when no bound exceeds the K-th best
@@ -33,7 +35,9 @@ from pyspark.sql import functions as F
 
 from . import base
 
-EXAMPLES, VOCABULARY, CHI, LEAST, NGRAMS, BLOCK, K, WAVE, SMOOTH = 2000, 1024, 30.0, 16, (4, 5), 64, 16, 4, 0.25
+EXAMPLES, VOCABULARY, CHI, LEAST, NGRAMS, BLOCK, K, WAVE, SMOOTH, BACKGROUND = 2000, 1024, 22.0, 16, (4, 5), 64, 16, 4, 0.25, 8.0
+#: Ends the name of the term that stands for another's second occurrence.
+TWICE = "\0"
 _WORD = re.compile(r"\w+")
 
 
@@ -67,7 +71,9 @@ def vocabulary(examples: DataFrame) -> list[str]:
         for b in batches:
             by: dict[int, Counter] = {0: Counter(), 1: Counter()}
             for text, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                by[y].update(set(chain.from_iterable(map(terms_of, set(text.lower().split())))))
+                n = Counter(chain.from_iterable(map(terms_of, text.lower().split())))
+                by[y].update(n.keys())
+                by[y].update(t + TWICE for t, k in n.items() if k > 1)
             for y, c in by.items():
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array([y] * len(c), pa.int32()), pa.array(list(c.values()), pa.int64())], ["term", "y", "n"])
 
@@ -76,7 +82,8 @@ def vocabulary(examples: DataFrame) -> list[str]:
     total = n0 + n1
     chi = total * F.pow(F.col("a") * n0 - F.col("b") * n1, F.lit(2)) / (F.lit(n1) * n0 * (F.col("a") + F.col("b")) * (total - F.col("a") - F.col("b") + 1))
     best = counted.select("term", chi.alias("chi")).orderBy(F.desc("chi"), "term").limit(VOCABULARY).collect()
-    return sorted(r["term"] for i, r in enumerate(best) if i < LEAST or r["chi"] >= CHI)
+    chosen = {r["term"] for i, r in enumerate(best) if i < LEAST or r["chi"] >= CHI}
+    return sorted(chosen | {t.rstrip(TWICE) for t in chosen})
 
 
 class Terms:
@@ -84,11 +91,16 @@ class Terms:
 
     def __init__(self, vocabulary: list[str]):
         self.at = {t: i for i, t in enumerate(vocabulary)}
+        self.twice = np.array([self.at.get(t + TWICE, -1) for t in vocabulary], np.int64)
         self.token = base.Memo(lambda s: tuple(i for t in terms_of(s) if (i := self.at.get(t)) is not None))
 
     def counts(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         found = list(chain.from_iterable(map(self.token.__getitem__, text.lower().split())))
-        return np.unique(np.array(found, np.int64), return_counts=True) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        if not found:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        t, n = np.unique(np.array(found, np.int64), return_counts=True)
+        again = (n > 1) & (self.twice[t] >= 0)
+        return np.r_[t, self.twice[t[again]]], np.r_[n, n[again] - 1]
 
 
 _TERMS: dict[tuple, Terms] = {}
@@ -126,7 +138,7 @@ class Index:
     """Block-max inverted index over unit vectors."""
 
     def __init__(self, size: int, vectors: list[tuple[np.ndarray, np.ndarray]], ids: list, y: np.ndarray):
-        lead = [(int(t[np.argmax(w)]), -float(w.max())) if len(t) else (size, 0.0) for t, w in vectors]
+        lead = [(int(t[np.argmax(w[:-1])]), -float(w[:-1].max())) if len(t) > 1 else (size, 0.0) for t, w in vectors]  # by the heaviest term but the background
         order = sorted(range(len(vectors)), key=lambda i: (lead[i], i))
         self.ids, self.y = [ids[i] for i in order], y[order]
         self.blocks = max(1, -(-len(order) // BLOCK))
@@ -170,13 +182,13 @@ class Model:
 
     def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         t, n = terms(self.vocabulary).counts(text)
-        w = (1 + np.log(n)) * self.idf[t]
-        return t, w / np.sqrt(w @ w) if len(w) else w
+        t, w = np.r_[t, len(self.vocabulary)], np.r_[(1 + np.log(n)) * self.idf[t], BACKGROUND]
+        return t, w / np.sqrt(w @ w)
 
     def fit(self, rows: list[tuple], share: float) -> None:
         """rows: id, terms, weights, y. share: of label 1 among all labelled rows."""
         y = np.array([r[3] for r in rows], np.float64)
-        self.index = Index(len(self.vocabulary), [(r[1], r[2]) for r in rows], [r[0] for r in rows], y)
+        self.index = Index(len(self.vocabulary) + 1, [(r[1], r[2]) for r in rows], [r[0] for r in rows], y)
         ones = max(y.mean(), 1e-9)
         self.prior = ones
         by_id = {r[0]: r for r in rows}
@@ -185,7 +197,7 @@ class Model:
         of = np.array([(1 - share) / max(1 - ones, 1e-9), share / ones])
         for i, k in enumerate(self.index.ids):
             _, t, w, label_i = by_id[k]
-            if len(t):
+            if len(t) > 1:
                 vote.append(self.vote(*self.index.search(t, w, without=i)))
                 label.append(label_i)
                 weight.append(of[label_i])
@@ -203,7 +215,7 @@ class Model:
         if self.index is None:
             return 0.0, []
         t, w = self.vector(text)
-        if not len(t):
+        if len(t) == 1:
             return float(self.flat), []
         rows, cosines = self.index.search(t, w)
         p = 1 / (1 + np.exp(-(self.slope * logit(np.array([self.vote(rows, cosines)]))[0] + self.shift)))
