@@ -33,7 +33,7 @@ def store(df: DataFrame, tag: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_root(spark)}/oremill/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._oremill_path = path
     return out
