@@ -184,7 +184,7 @@ def _views(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _inputs(docs: DataFrame, text_col: str) -> list[Column]:
     """The four inputs; a column that docs lacks is null."""
     has = {c.lower() for c in docs.columns}
-    return [F.col(text_col), *((F.col(c) if c in has else F.lit(None)).cast(k).alias(c) for c, k in (("source", "string"), ("lang", "string"), ("n_chars", "double")))]
+    return [F.col(text_col), *((F.col(c).try_cast(k) if c in has else F.lit(None).cast(k)).alias(c) for c, k in (("source", "string"), ("lang", "string"), ("n_chars", "double")))]
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
