@@ -27,6 +27,7 @@ from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
 
+import ahocorasick
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -35,19 +36,20 @@ from pyspark.sql import functions as F
 
 from . import base
 
-EXAMPLES, VOCABULARY, CHI, LEAST, NGRAMS, BLOCK, K, WAVE, SMOOTH, BACKGROUND = 2000, 1024, 22.0, 16, (4, 5), 64, 16, 4, 0.25, 8.0
+EXAMPLES, VOCABULARY, CHI, LEAST, NGRAMS, BLOCK, K, WAVE, SMOOTH, BACKGROUND = 2000, 1024, 22.0, 16, (4, 5), 64, 16, 16, 0.25, 8.0
 #: Ends the name of the term that stands for another's second occurrence.
 TWICE = "\0"
-_WORD = re.compile(r"\w+")
+_OTHER = re.compile(r"[^\w\s]+")
 
 
-def terms_of(token: str) -> tuple[str, ...]:
-    """The distinct terms of one blank-delimited token, each once for every word it is in."""
-    out: list[str] = []
-    for w in _WORD.findall(token):
-        marked = f"^{w}$"
-        out += {marked, *(marked[i : i + n] for n in NGRAMS for i in range(len(marked) - n + 1))}
-    return tuple(out)
+def words_of(text: str) -> list[str]:
+    return _OTHER.sub(" ", text.lower()).split()
+
+
+def terms_of(word: str) -> set[str]:
+    """The distinct terms of a word: itself with its ends marked, and its n-grams."""
+    marked = f"^{word}$"
+    return {marked, *(marked[i : i + n] for n in NGRAMS for i in range(len(marked) - n + 1))}
 
 
 def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> DataFrame:
@@ -71,7 +73,7 @@ def vocabulary(examples: DataFrame) -> list[str]:
         for b in batches:
             by: dict[int, Counter] = {0: Counter(), 1: Counter()}
             for text, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                n = Counter(chain.from_iterable(map(terms_of, text.lower().split())))
+                n = Counter(chain.from_iterable(map(terms_of, words_of(text))))
                 by[y].update(n.keys())
                 by[y].update(t + TWICE for t, k in n.items() if k > 1)
             for y, c in by.items():
@@ -87,15 +89,21 @@ def vocabulary(examples: DataFrame) -> list[str]:
 
 
 class Terms:
-    """Texts to term numbers."""
+    """Texts to term numbers: one automaton finds all terms in a text whose words have their ends marked."""
 
     def __init__(self, vocabulary: list[str]):
-        self.at = {t: i for i, t in enumerate(vocabulary)}
-        self.twice = np.array([self.at.get(t + TWICE, -1) for t in vocabulary], np.int64)
-        self.token = base.Memo(lambda s: tuple(i for t in terms_of(s) if (i := self.at.get(t)) is not None))
+        at = {t: i for i, t in enumerate(vocabulary)}
+        self.twice = np.array([at.get(t + TWICE, -1) for t in vocabulary], np.int64)
+        self.find = ahocorasick.Automaton()
+        for t, i in at.items():
+            if not t.endswith(TWICE):
+                self.find.add_word(t, i)
+        self.find.make_automaton()
 
     def counts(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        found = list(chain.from_iterable(map(self.token.__getitem__, text.lower().split())))
+        """Numbers of the terms in a text, and in how many places each is."""
+        words = words_of(text)
+        found = [i for _, i in self.find.iter(f"^{'$ ^'.join(words)}$")] if words and len(self.find) else []
         if not found:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         t, n = np.unique(np.array(found, np.int64), return_counts=True)
@@ -179,9 +187,12 @@ class Model:
     def __init__(self, vocabulary: list[str], total: int, df: np.ndarray):
         self.vocabulary, self.idf = vocabulary, 1 + np.log((total + 1) / (df + 1))
         self.index, self.prior, self.flat, self.slope, self.shift = None, 0.0, 0.0, 1.0, 0.0
+        self.known: dict[bytes, tuple[float, list[dict]]] = {}
 
     def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        t, n = terms(self.vocabulary).counts(text)
+        return self.weighted(*terms(self.vocabulary).counts(text))
+
+    def weighted(self, t: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         t, w = np.r_[t, len(self.vocabulary)], np.r_[(1 + np.log(n)) * self.idf[t], BACKGROUND]
         return t, w / np.sqrt(w @ w)
 
@@ -214,9 +225,18 @@ class Model:
     def score(self, text: str) -> tuple[float, list[dict]]:
         if self.index is None:
             return 0.0, []
-        t, w = self.vector(text)
-        if len(t) == 1:
+        t, n = terms(self.vocabulary).counts(text)
+        if not len(t):
             return float(self.flat), []
+        key = t.tobytes() + n.tobytes()  # texts with the same counts have the same vector
+        if key not in self.known:
+            if len(self.known) >= 20_000:
+                self.known.clear()
+            self.known[key] = self._score(t, n)
+        return self.known[key]
+
+    def _score(self, t: np.ndarray, n: np.ndarray) -> tuple[float, list[dict]]:
+        t, w = self.weighted(t, n)
         rows, cosines = self.index.search(t, w)
         p = 1 / (1 + np.exp(-(self.slope * logit(np.array([self.vote(rows, cosines)]))[0] + self.shift)))
         return float(p), [{"id": self.index.ids[r], "cosine": float(c), "label": int(self.index.y[r])} for r, c in zip(rows, cosines, strict=True)]
