@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import tempfile
 import uuid
@@ -25,10 +27,21 @@ def shared_root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = "file://" + os.path.join(tempfile.gettempdir(), "oremill-scratch")
-        spark.conf.set("spark.oremill.scratch", root)
     return root.rstrip("/")
 
 
+_WRITTEN: list[tuple[SparkSession, str]] = []
+
+
+@atexit.register
+def clear() -> None:
+    """Delete all tables of store(); at the end of the process, or earlier when no result depends on them any more."""
+    while _WRITTEN:
+        table = _WRITTEN.pop()
+        with contextlib.suppress(Exception):  # the session may be gone
+            _delete(*table)
+
+
 def store(df: DataFrame, tag: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
@@ -36,16 +49,20 @@ def store(df: DataFrame, tag: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._oremill_path = path
+    _WRITTEN.append((spark, path))
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def drop(*stored: DataFrame | None) -> None:
     """Delete tables made by store() that nothing reads any more."""
     for df in stored:
         if path := getattr(df, "_oremill_path", None):
-            jvm = df.sparkSession.sparkContext._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+            _delete(df.sparkSession, path)
 
 
 def ship(spark: SparkSession) -> None:

@@ -34,6 +34,8 @@ from .minhash import mix
 WINDOW, RUN, LEVELS, LOW, HIGH, POINTS, PER_FILTER, BITS, SLACK = 64, 64, 1000, 100, 990, 16, 160, 2048, 0.3
 SCALE = 1 << 20
 SHORT, SHORT_WINDOW = 256, 8
+#: Ranges of ids, at most: they are constants of the plan.
+RANGES = 4096
 _C = np.arange(WINDOW + 2, dtype=np.float64)
 _CLOGC = np.round(SCALE * _C * np.log2(np.maximum(_C, 1))).astype(np.int64)
 _STEP = _CLOGC[1:] - _CLOGC[:-1]
@@ -159,10 +161,11 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     """docs dealt into ranges of descending id and sorted within them: columns range, id, text, tail; a range's last rows
     (tail) are copies of the row that begins the next one. Rows with equal ids are ordered by text; null ids come last.
 
-    The ranges' ends are quantiles of the ids, a number of them that is twice the shuffle partitions."""
+    The ranges' ends are quantiles of the ids: twice as many as shuffle partitions, at most RANGES. A range is sorted with
+    spilling and read as a stream, so its size bounds no memory."""
     spark = docs.sparkSession
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    ranges = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranges = min(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), RANGES)
     ends = sorted({int(x) for x in (own.agg(F.percentile_approx("id", [k / ranges for k in range(1, ranges)], 100 * ranges)).first()[0] or [])}, reverse=True)
     low = F.lit(len(ends) + 1)
     # range k holds ends[k-1] >= id > ends[k]; nulls are in a range of their own
@@ -186,7 +189,7 @@ def compare_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     the first follows the last). One shuffle of the texts, by range of ids; only the row that ends a range is read twice."""
     rank = rarity(docs, text_col)
     dealt, order = with_next(docs, id_col, text_col)
-    parts = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = min(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), RANGES)
     dealt = dealt.repartition(parts, "range").sortWithinPartitions(*(F.expr(c.split()[0]).desc_nulls_last() if "desc" in c else F.col(c) for c in order.split(", ")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
