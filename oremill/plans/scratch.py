@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import tempfile
 import uuid
@@ -14,8 +16,22 @@ def root(spark: SparkSession) -> str:
     return (spark.conf.get("spark.checkpoint.dir", None) or "file://" + os.path.join(tempfile.gettempdir(), "oremill-tables")).rstrip("/")
 
 
+_WRITTEN: list[tuple[SparkSession, str]] = []
+
+
+@atexit.register
+def clear() -> None:
+    """Delete all tables of this process; at its end, or earlier when no result depends on them any more."""
+    while _WRITTEN:
+        spark, path = _WRITTEN.pop()
+        with contextlib.suppress(Exception):  # the session may be gone
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def store(df: DataFrame, tag: str) -> DataFrame:
     """Write df and read it back."""
     path = f"{root(df.sparkSession)}/oremill/{tag}-{uuid.uuid4().hex}"
+    _WRITTEN.append((df.sparkSession, path))
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from oremill.operators import access, chunking, context, governance, graph, intent, memory, ontology, resolution, retrieval, upsert
+from oremill.operators import access, chunking, context, governance, graph, intent, knowledge, memory, ontology, resolution, retrieval, upsert
 
 
 def frame(spark, rows, schema):
@@ -168,3 +168,15 @@ def test_batch_topk_is_exact_and_bounded(spark):
         assert [x["id"] for x in got.where(F.col("query_id") == i).orderBy("rank").collect()] == want
     with pytest.raises(ValueError):
         retrieval.batch_topk(df, q, 4, bound=2)
+
+
+def test_descriptions():
+    assert knowledge.sentences("Dr. Smith came. He left.") == ["Dr. Smith came.", "He left."]
+    assert knowledge.merge_descriptions("Ada wrote notes.", "Ada wrote notes. She met Babbage. A third one.") == "Ada wrote notes. She met Babbage."
+    assert knowledge.merge_descriptions("", "word " * 100, 40).startswith("word word") and len(knowledge.merge_descriptions("", "word " * 100, 40)) <= 40
+
+
+def test_contradictions(spark):
+    rows = [("Bob KILLED Al", "Al", "KILLED", "Bob"), ("Al killed Bob", "Al", "KILLED", "Bob"), ("a (b) c", "c", "x", "(b)")]
+    df = frame(spark, rows, "t string, s string, r string, o string")
+    assert [r[0] for r in df.select(knowledge.contradicts(F.col("t"), F.col("s"), F.col("r"), F.col("o"))).collect()] == [True, False, False]
