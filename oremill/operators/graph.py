@@ -189,7 +189,7 @@ def synonym_pairs(vectors: DataFrame, threshold: float = 0.85, blocks: int = 8,
     # a row goes to every pair of blocks that its own is in
     cells = own.select("id", "v", "block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other")).select("id", "v", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
 
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def run(key, rows):
         i, j = key
         left, right = rows[rows.block == i], rows[rows.block == j]
         if left.empty or right.empty:

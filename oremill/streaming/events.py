@@ -37,3 +37,18 @@ def sink(stream: DataFrame, path: str, checkpoint: str, once: bool = True) -> St
 
     w = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (w.trigger(availableNow=True) if once else w.trigger(processingTime="10 seconds")).start()
+
+
+def first_seen(stream: DataFrame, keys: list[str], late: str) -> DataFrame:
+    """The first row of each key; state is kept for as long as the watermark allows late rows."""
+    return stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
+
+
+def ingest(engine, stream: DataFrame, checkpoint: str, bucket: str) -> StreamingQuery:
+    """Sources as a stream: each micro-batch is an idempotent ingest, so a repeated batch changes nothing."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        if not batch.isEmpty():
+            engine.ingest(batch, bucket)
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from oremill.operators.access import Identity
 from oremill.plans.engine import Config, Engine
+from oremill.sources import tables
 from oremill.sources.catalog import Catalog
 from oremill.streaming import events
 
@@ -92,3 +93,36 @@ def test_stream_equals_batch(spark, tmp_path):
     q = events.sink(stream, f"{tmp_path}/out", f"{tmp_path}/ck")
     q.awaitTermination()
     assert spark.read.parquet(f"{tmp_path}/out").count() == batch.count()
+
+
+def test_keyed_tables(spark, tmp_path):
+    c = Catalog(spark, f"file://{tmp_path}/k")
+    buckets = tables.Table(c, "buckets")
+    t = dt.datetime(2024, 1, 1)
+    row = lambda i, m, at: (i, m, f"name {i}", at)
+    schema = "id string, embedding_model string, name string, created_at timestamp"
+    buckets.put(spark.createDataFrame([row("b1", "m", t), row("bkt_default", "m", t)], schema))
+    buckets.put(spark.createDataFrame([("b1", "other", "renamed", t + dt.timedelta(1))], schema))
+    b = buckets.get(id="b1")
+    assert (b["embedding_model"], b["name"], b["created_at"]) == ("m", "renamed", t)
+    assert buckets.count() == 2 and buckets.list(limit=1, offset=1).count() == 1 and buckets.list(id=["b1", "x"]).count() == 1
+    buckets.patch(spark.createDataFrame([("b1", None, "again")], "id string, embedding_model string, name string"))
+    assert buckets.get(id="b1")["name"] == "again"
+    with pytest.raises(ValueError):
+        buckets.delete(id="bkt_default")
+    buckets.delete(id="b1")
+    assert [r["id"] for r in buckets.all().collect()] == ["bkt_default"]
+    assert tables.last_run(c, "b1") is None
+    tables.set_last_run(c, "b1", t)
+    tables.set_last_run(c, "b1", t + dt.timedelta(2))
+    assert tables.last_run(c, "b1") == t + dt.timedelta(2)
+
+
+def test_stream_ingest(spark, engine, tmp_path):
+    path = f"file://{tmp_path}/in"
+    sources(spark, ("1", "one text", "a"), ("2", "two texts", "b")).write.parquet(path)
+    for _ in range(2):
+        events.ingest(engine, spark.readStream.schema("id string, content string, url string").parquet(path), f"{tmp_path}/ck", "b").awaitTermination()
+    assert engine.catalog.read("chunks").count() == 2
+    seen = events.first_seen(spark.read.parquet("/root/testdata/sf0.001/events.parquet"), ["user_id"], "1 day")
+    assert seen.columns[0] == "event_id"
