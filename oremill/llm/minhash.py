@@ -11,11 +11,14 @@
    Bands with one representative are dropped.
 4. Verification. A pair is a link where the exact Jaccard similarity of its sets of shingles reaches the threshold.
    In every band the smallest id leads, and only pairs with the leader are compared (a star, never all pairs). Links
-   give classes; bands whose members have one class are settled. Two rounds of further stars, from another member
-   of the leader's class and from the first member outside it, join most of what is left. What still differs
-   then is compared pair by pair where a link is possible at all: other classes, sizes of sets within the threshold
-   of each other, and distances to the leader that differ by 1 - threshold at most (Jaccard distance is a metric).
-   So every linked pair that shares a band ends in one class, and no list of candidates is capped.
+   give classes; bands whose members have one class are settled. One round of further stars, from another member of
+   the leader's class and from the first member outside it, joins most of what is left. The members of bands that
+   are still unsettled go through an exact prefix filter: a document's shingles are put in the order of how many of
+   these documents hold them, and a link needs a common shingle among the first (1 - threshold) share of both. A
+   common passage comes late in that order, so sharing it makes no pair. At a pair's first common shingle, what
+   follows in both must be enough for the threshold. Only pairs of different classes and of sizes within the
+   threshold are compared. So every linked pair that shares a band ends in one class, and no list
+   of candidates is capped.
 5. Classes are the connected components of the links, by label propagation with pointer jumping over stored tables.
 
 Defined results: null text is empty; a text without words has no shingles and is a class of its own; repeated rows
@@ -31,7 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import base
@@ -160,34 +163,40 @@ def links(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     leads = members.groupBy("band").agg(F.min("id").alias("lead"))
     star = base.store(members.join(base.store(leads, "leads"), "band"), "star")
     known, found = linked(star.select(F.col("lead").alias("a"), F.col("id").alias("b")))
-    sizes = sets.select("id", F.size("shingles").alias("n"))
-    away = known.select(F.col("a").alias("lead"), F.col("b").alias("id"), (1 - F.col("similarity")).alias("d"))
-    measured = star.join(away, ["lead", "id"], "left").withColumn("d", F.coalesce("d", F.lit(0.0)))
-    measured = base.store(measured.join(sizes, "id"), "measured")
     found = base.store(none.unionByName(found), "links")
 
     def unsettled() -> DataFrame:
         labels = components(found)
-        placed = measured.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+        placed = star.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
         placed = base.store(placed, "placed")
         mixed = base.store(placed.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("band"), "mixed")
         return base.store(placed.join(mixed, "band"), "unsettled")
 
-    for _ in range(2):
-        left = unsettled()
-        if left.isEmpty():
-            return found
-        first = left.where("id = lead").select("band", F.col("label").alias("own"))
-        pivots = left.join(first, "band").groupBy("band").agg(F.max(F.when(F.col("label") == F.col("own"), F.struct("id", "label"))).alias("inner"), F.min(F.when(F.col("label") != F.col("own"), F.struct("id", "label"))).alias("outer"))
-        pivots = base.store(pivots.select("band", F.explode(F.array("inner", "outer")).alias("p")).select("band", "p.*").toDF("band", "pivot", "side"), "pivots")
-        found = base.store(found.unionByName(linked(left.join(pivots, "band").where("label <> side").select(F.col("pivot").alias("a"), F.col("id").alias("b")))[1]), "links")
     left = unsettled()
     if left.isEmpty():
         return found
-    p, q = left.select("band", *(F.col(c).alias(f"p_{c}") for c in ("id", "label", "d", "n"))), left.select("band", *(F.col(c).alias(f"q_{c}") for c in ("id", "label", "d", "n")))
-    could = (F.col("p_id") < F.col("q_id")) & (F.col("p_label") != F.col("q_label")) & (F.abs(F.col("p_d") - F.col("q_d")) <= room + fuzz)
-    could &= F.least("p_n", "q_n") >= (threshold - fuzz) * F.greatest("p_n", "q_n")
-    rest = p.join(q, "band").where(could).select(F.col("p_id").alias("a"), F.col("q_id").alias("b")).distinct()
+    first = left.where("id = lead").select("band", F.col("label").alias("own"))
+    pivots = left.join(first, "band").groupBy("band").agg(F.max(F.when(F.col("label") == F.col("own"), F.struct("id", "label"))).alias("inner"), F.min(F.when(F.col("label") != F.col("own"), F.struct("id", "label"))).alias("outer"))
+    pivots = base.store(pivots.select("band", F.explode(F.array("inner", "outer")).alias("p")).select("band", "p.*").toDF("band", "pivot", "side"), "pivots")
+    found = base.store(found.unionByName(linked(left.join(pivots, "band").where("label <> side").select(F.col("pivot").alias("a"), F.col("id").alias("b")))[1]), "links")
+    left = unsettled()
+    if left.isEmpty():
+        return found
+    docs = base.store(left.select("id", "label").distinct(), "unsettled-ids")
+    held = base.store(sets.join(docs, "id").select("id", "label", F.size("shingles").alias("n"), F.explode("shingles").alias("s")), "held")
+    often = held.groupBy("s").agg(F.count("*").alias("often"))
+    place = F.row_number().over(Window.partitionBy("id").orderBy("often", "s"))
+    first = held.join(often, "s").withColumn("place", place).where(F.col("often") > 1).where(F.col("place") <= F.floor(F.col("n") * (room + fuzz)) + 1)
+    first = base.store(first.select("id", "label", "n", "s", "place"), "prefixes")
+    # within a shingle, pairs need one member outside its commonest class
+    main = base.store(first.groupBy("s").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.mode("label", True).alias("main")).where("low <> high").select("s", "main"), "mixed-shingles")
+    mixed = first.join(main, "s")
+    other = mixed.where("label <> main").select("s", *(F.col(c).alias(f"p_{c}") for c in ("id", "label", "n", "place")))
+    could = (F.col("p_label") != F.col("label")) & ((F.col("label") == F.col("main")) | (F.col("p_id") < F.col("id")))
+    could &= F.least("p_n", "n") >= (threshold - fuzz) * F.greatest("p_n", "n")
+    # true of a linked pair's first common shingle, whose forerunners they don't share
+    could &= F.least(F.col("p_n") - F.col("p_place"), F.col("n") - F.col("place")) + 1 >= (F.col("p_n") + F.col("n")) * threshold / (1 + threshold) - 1e-6
+    rest = other.join(mixed, "s").where(could).select(F.least("p_id", "id").alias("a"), F.greatest("p_id", "id").alias("b")).distinct()
     return base.store(found.unionByName(linked(rest.join(known, ["a", "b"], "left_anti"))[1]), "links")
 
 
