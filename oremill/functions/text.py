@@ -60,12 +60,17 @@ def keyword_score(words: Column, terms: list[str]) -> Column:
     """Saturating term frequency over the terms: all terms matched counts in full, some of them three quarters."""
     if not terms:
         return F.lit(0.0)
-    tf = [_count(words, t) for t in terms]
-    relaxed = sum((n / (n + 1.0) for n in tf), F.lit(0.0)) / len(terms)
-    every = tf[0] > 0
-    for n in tf[1:]:
-        every = every & (n > 0)
-    return F.greatest(F.when(every, relaxed).otherwise(0.0), 0.75 * relaxed)
+
+    def score(hits: Column) -> Column:
+        tf = [_count(hits, t) for t in terms]
+        relaxed = sum((n / (n + 1.0) for n in tf), F.lit(0.0)) / len(terms)
+        every = tf[0] > 0
+        for n in tf[1:]:
+            every = every & (n > 0)
+        return F.when(every, relaxed).otherwise(0.75 * relaxed)
+
+    # bound to a lambda's variable, the words are split and searched once
+    return F.get(F.transform(F.array(F.filter(words, lambda w: w.isin(*terms))), score), F.lit(0))
 
 
 def _count(words: Column, term: str) -> Column:

@@ -48,14 +48,20 @@ def pagerank(adj: DataFrame, seeds: DataFrame, restart: float = 0.5, iterations:
     return scores.where(F.col("score") > least)
 
 
+def _step(edges: DataFrame, frontier: DataFrame, direction: str = "both") -> DataFrame:
+    """parent, id of the edges that leave the frontier: a join for each direction, so that edges are neither doubled nor deduplicated."""
+    at = frontier.select(F.col("id").alias("parent"))
+    out = edges.select(F.col("source").alias("parent"), F.col("target").alias("id")).join(at, "parent")
+    into = edges.select(F.col("target").alias("parent"), F.col("source").alias("id")).join(at, "parent")
+    return out if direction == "out" else into if direction == "in" else out.unionByName(into)
+
+
 def khop(edges: DataFrame, seeds: DataFrame, depth: int, direction: str = "both") -> DataFrame:
     """id and depth (0 for seeds) of all vertices within `depth` steps, nearest depth first."""
-    out, into = edges.select("source", "target"), edges.select(F.col("target").alias("source"), F.col("source").alias("target"))
-    steps = (out if direction == "out" else into if direction == "in" else out.union(into)).distinct()
-    seen = seeds.select("id").distinct().withColumn("depth", F.lit(0))
+    seen = store(seeds.select("id").distinct().withColumn("depth", F.lit(0)), "frontier")
     frontier = seen
     for d in range(1, depth + 1):
-        reached = frontier.join(steps, frontier.id == steps.source).select(F.col("target").alias("id")).distinct()
+        reached = _step(edges, frontier, direction).select("id").distinct()
         frontier = store(reached.join(seen, "id", "left_anti").withColumn("depth", F.lit(d)), "frontier")
         seen = seen.unionByName(frontier)
         if frontier.isEmpty():
@@ -81,13 +87,12 @@ def subgraph(edges: DataFrame, seeds: DataFrame, depth: int, types: list[str] |
 def shortest_path(edges: DataFrame, start: str, end: str, most: int = 5) -> DataFrame:
     """step, id along one undirected shortest path of at most `most` edges (the smallest parent at every step); empty if there is none."""
     spark = edges.sparkSession
-    steps = edges.select("source", "target").union(edges.select(F.col("target"), F.col("source"))).distinct()
     seen = spark.createDataFrame([(start, None, 0)], "id string, parent string, depth int")
     frontier = seen
     for d in range(1, most + 1):
         if not seen.where(F.col("id") == end).isEmpty():
             break
-        near = frontier.join(steps, frontier.id == steps.source).groupBy(F.col("target").alias("id")).agg(F.min("source").alias("parent"))
+        near = _step(edges, frontier).groupBy("id").agg(F.min("parent").alias("parent"))
         frontier = store(near.join(seen, "id", "left_anti").withColumn("depth", F.lit(d)), "path")
         seen = seen.unionByName(frontier)
     path, at = [], end

@@ -367,13 +367,13 @@ def adjacency(spark, sf_dir):
     return graph.adjacency(R.edges(spark, sf_dir)).withColumn("weight", F.round("weight", 6))
 
 
-_STEPS = "steps AS (SELECT source, target FROM edges UNION SELECT target, source FROM edges)"
+_STEPS = "steps AS MATERIALIZED (SELECT source, target FROM edges UNION SELECT target, source FROM edges)"
 
 
 def _hops(depth: int) -> str:
     out = "h0 AS (SELECT 'supp:1' AS id, 0 AS depth)"
     for d in range(1, depth + 1):
-        out += f", h{d} AS (SELECT id, depth FROM h{d - 1} UNION ALL SELECT DISTINCT target, {d} FROM h{d - 1} JOIN steps ON source = id WHERE target NOT IN (SELECT id FROM h{d - 1}))"
+        out += f", h{d} AS MATERIALIZED (SELECT id, depth FROM h{d - 1} UNION ALL SELECT DISTINCT target, {d} FROM h{d - 1} JOIN steps ON source = id WHERE target NOT IN (SELECT id FROM h{d - 1}))"
     return out
 
 
