@@ -390,7 +390,7 @@ def subgraph(spark, sf_dir):
 _BFS = _hops(5).replace("supp:1", "cust:1")
 
 
-@query(f"""WITH RECURSIVE {R.EDGES}, {_STEPS}, {_BFS}, up AS (SELECT b.id, min(s.source) AS parent, b.depth FROM h5 b JOIN steps s ON s.target = b.id JOIN h5 a ON a.id = s.source AND a.depth = b.depth - 1 GROUP BY b.id, b.depth),
+@query(f"""WITH RECURSIVE {R.EDGES}, {_STEPS}, {_BFS}, up AS MATERIALIZED (SELECT b.id, min(s.source) AS parent, b.depth FROM h5 b JOIN steps s ON s.target = b.id JOIN h5 a ON a.id = s.source AND a.depth = b.depth - 1 GROUP BY b.id, b.depth),
   walk AS (SELECT 'supp:1' AS id, (SELECT depth FROM h5 WHERE id = 'supp:1') AS step UNION ALL SELECT up.parent, walk.step - 1 FROM walk JOIN up ON up.id = walk.id) SELECT CAST(step AS INTEGER) AS step, id FROM walk WHERE step IS NOT NULL""")
 def shortest_path(spark, sf_dir):
     return graph.shortest_path(R.edges(spark, sf_dir), "cust:1", "supp:1")
