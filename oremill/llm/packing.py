@@ -192,7 +192,8 @@ def pack(docs: DataFrame, path: str, end_id: int = 2, capacity: int = 1024, id_c
     made, _ = sweep(histogram, capacity)
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    ranked_pieces = cutoff.join(offsets, ["part", "length"]).withColumn("rank", F.col("place") + F.col("before")).drop("part", "place", "before")
+    # offsets grow with the input partitions, so they are never broadcast
+    ranked_pieces = cutoff.join(offsets.hint("merge"), ["part", "length"]).withColumn("rank", F.col("place") + F.col("before")).drop("part", "place", "before")
     names = ["id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
