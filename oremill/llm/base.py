@@ -91,16 +91,19 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
 class Memo(dict):
     """A dict that computes what it lacks and starts anew when it holds `most` entries or `chars` characters."""
 
-    def __init__(self, make: Callable, most: int = 400_000, chars: int = 16_000_000):
+    def __init__(self, make: Callable, most: int = 200_000, chars: int = 8_000_000):
         super().__init__()
         self.make, self.most, self.chars, self.held = make, most, chars, 0
 
+    def reset(self) -> None:
+        self.clear()
+        self.held = 0
+
     def __missing__(self, key):
         out = self.make(key)
         if len(key) <= 256:
             if len(self) >= self.most or self.held > self.chars:
-                self.clear()
-                self.held = 0
+                self.reset()
             self.held += len(key)
             self[key] = out
         return out

@@ -208,6 +208,7 @@ def scored(model: Model, inputs: list[Column]) -> Column:
             t = np.array([text_view(x or "") for x in text]).reshape(len(text), HASHED + MEASURES)
             m = np.array([meta_view(*x) for x in zip(source, lang, n_chars.astype(object).where(n_chars.notna(), None), strict=True)]).reshape(len(text), META)
             yield pd.DataFrame(model.chances(t, m), columns=["score", "text_score", "meta_score"])
+        _TOKENS.reset()  # the worker lives on for other operators
 
     return run(*inputs)
 
