@@ -34,8 +34,8 @@ from .minhash import mix
 WINDOW, RUN, LEVELS, LOW, HIGH, POINTS, PER_FILTER, BITS, SLACK = 64, 64, 1000, 100, 990, 16, 160, 2048, 0.3
 SCALE = 1 << 20
 SHORT, SHORT_WINDOW = 256, 8
-#: Ranges of ids, at most: they are constants of the plan.
-RANGES = 4096
+#: Ranges of ids, at most, and cells in a range: their table is sent to all tasks.
+RANGES, CELLS = 16_384, 16
 _C = np.arange(WINDOW + 2, dtype=np.float64)
 _CLOGC = np.round(SCALE * _C * np.log2(np.maximum(_C, 1))).astype(np.int64)
 _STEP = _CLOGC[1:] - _CLOGC[:-1]
@@ -157,29 +157,33 @@ def fingerprint(docs: DataFrame, rank: np.ndarray, id_col: str = "doc_id", text_
     return base.map_arrow(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), run, f"id {kind}, fingerprint string").withColumnRenamed("id", id_col)
 
 
-def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, str]:
-    """docs dealt into ranges of descending id and sorted within them: columns range, id, text, tail; a range's last rows
-    (tail) are copies of the row that begins the next one. Rows with equal ids are ordered by text; null ids come last.
+def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, int]:
+    """docs dealt into ranges of descending id: columns range, id, text, tail; a range's last rows (tail) are copies of the row
+    that begins the next one. Rows with equal ids are ordered by text; null ids come last. Also the number of ranges.
 
-    The ranges' ends are quantiles of the ids: twice as many as shuffle partitions, at most RANGES. A range is sorted with
-    spilling and read as a stream, so its size bounds no memory."""
+    The span of ids is cut into equal cells, a bounded number of them; cells are counted, and put together to ranges of near
+    equal counts: twice as many as shuffle partitions, at most RANGES. A range is sorted with spilling and read as a stream, so
+    its size bounds no memory."""
     spark = docs.sparkSession
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     ranges = min(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), RANGES)
-    ends = sorted({int(x) for x in (own.agg(F.percentile_approx("id", [k / ranges for k in range(1, ranges)], 100 * ranges)).first()[0] or [])}, reverse=True)
-    low = F.lit(len(ends) + 1)
-    # range k holds ends[k-1] >= id > ends[k]; nulls are in a range of their own
-    of = F.when(F.col("id").isNull(), low).otherwise(F.size(F.filter(F.array(*map(F.lit, ends)) if ends else F.expr("cast(array() as array<bigint>)"), lambda e: e >= F.col("id"))))
-    own = own.withColumn("range", of)
-    heads = {r["range"]: r["id"] for r in own.groupBy("range").agg(F.max("id").alias("id")).collect()}  # a row for each range
-    order = sorted(heads)
-    if not order:
-        return own.withColumn("tail", F.lit(False)), "range, tail, id desc nulls last, text"
-    before = {heads[k]: order[i - 1] for i, k in enumerate(order)}  # the range that a head also ends
-    to = F.create_map(*(F.lit(x) for k, v in before.items() if k is not None for x in (k, v))) if any(k is not None for k in before) else None
-    target = F.when(F.col("id").isNull(), F.lit(before.get(None))) if to is None else F.when(F.col("id").isNull(), F.lit(before.get(None))).otherwise(F.element_at(to, F.col("id")))
-    copies = F.array(F.struct(F.col("range"), F.lit(False).alias("tail"))) if not before else F.filter(F.array(F.struct(F.col("range"), F.lit(False).alias("tail")), F.struct(target.cast("int").alias("range"), F.lit(True).alias("tail"))), lambda c: c["range"].isNotNull())
-    return own.select("id", "text", F.explode(copies).alias("c")).select("id", "text", "c.range", "c.tail"), "range, tail, id desc nulls last, text"
+    low, high = own.agg(F.min("id"), F.max("id")).first()
+    width = (0 if low is None else high - low) // (CELLS * ranges) + 1
+    cell = F.coalesce(F.expr(f"({high or 0} - id) div {width}"), F.lit(1 << 62))
+    own = own.withColumn("cell", cell)
+    cells = sorted((r["cell"], r["n"], r["head"]) for r in own.groupBy("cell").agg(F.count("*").alias("n"), F.max("id").alias("head")).collect())  # CELLS * ranges rows at most, and one for nulls
+    total, before, rows, last = sum(n for _, n, _ in cells), 0, [], -1
+    for c, n, head in cells:
+        k = ranges if head is None else before * ranges // total
+        rows.append([c, k, head, last if k != last else None])  # a range's first cell knows the range before
+        before, last = before + n, k
+    if rows:
+        rows[0][3] = last  # the first row follows the last
+    table = spark.createDataFrame(rows, "cell long, range int, head long, before int")
+    placed = own.join(F.broadcast(table), "cell")
+    tail = F.when(F.col("id").eqNullSafe(F.col("head")), F.col("before"))
+    copies = F.filter(F.array(F.struct("range", F.lit(False).alias("tail")), F.struct(tail.alias("range"), F.lit(True).alias("tail"))), lambda c: c["range"].isNotNull())
+    return placed.select("id", "text", F.explode(copies).alias("c")).select("id", "text", "c.range", "c.tail"), ranges
 
 
 def compare_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -188,9 +192,8 @@ def compare_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     The edited text has its last third replaced by as many first characters of the next document (by descending id;
     the first follows the last). One shuffle of the texts, by range of ids; only the row that ends a range is read twice."""
     rank = rarity(docs, text_col)
-    dealt, order = with_next(docs, id_col, text_col)
-    parts = min(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), RANGES)
-    dealt = dealt.repartition(parts, "range").sortWithinPartitions(*(F.expr(c.split()[0]).desc_nulls_last() if "desc" in c else F.col(c) for c in order.split(", ")))
+    dealt, ranges = with_next(docs, id_col, text_col)
+    dealt = dealt.repartition(ranges, "range").sortWithinPartitions("range", "tail", F.desc_nulls_last("id"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None  # (range, id, text, digest) that waits for its next
