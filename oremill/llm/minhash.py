@@ -11,8 +11,8 @@
    Bands with one representative are dropped.
 4. Verification. A pair is a link where the exact Jaccard similarity of its sets of shingles reaches the threshold.
    In every band the smallest id leads, and only pairs with the leader are compared (a star, never all pairs). Links
-   give classes; bands whose members have one class are settled. One round of further stars, from another member of
-   the leader's class and from the first member outside it, joins most of what is left. The members of bands that
+   give classes; bands whose members have one class are settled. One round of further stars, from a member of
+   the least and one of the greatest of a band's classes, joins most of what is left. The members of bands that
    are still unsettled go through an exact prefix filter: a document's shingles are put in the order of how many of
    these documents hold them, and a link needs a common shingle among the first (1 - threshold) share of both. A
    common passage comes late in that order, so sharing it makes no pair. At a pair's first common shingle, what
@@ -119,15 +119,16 @@ def _sketches(docs: DataFrame, bands: int, rows: int, k: int) -> DataFrame:
             full = [i for i, w in enumerate(words) if len(w)]
             got: list = [None] * len(words)
             at = 0
-            while at < len(full):  # groups of texts of about a million words together
+            while at < len(full):  # groups of texts of about 200,000 words together
                 to, total = at, 0
-                while to < len(full) and (to == at or total + len(words[full[to]]) <= 1_000_000):
+                while to < len(full) and (to == at or total + len(words[full[to]]) <= 200_000):
                     total += len(words[full[to]])
                     to += 1
                 for i, x in zip(full[at:to], band_keys(probminhash([weighted(words[i], k) for i in full[at:to]], bands * rows), bands, rows), strict=True):
                     got[i] = x
                 at = to
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.binary()), pa.array(got, pa.list_(pa.int64()))], ["id", "words_key", "bands"])
+        _HASHES.reset()  # the worker lives on for other operators
 
     return base.map_arrow(docs, run, "id long, words_key binary, bands array<long>")
 
@@ -139,6 +140,7 @@ def shingle_sets(docs: DataFrame, k: int = WORDS) -> DataFrame:
         for b in batches:
             got = [np.unique(shingles(word_hashes(x or ""), k)).view(np.int64) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.list_(pa.int64()))], ["id", "shingles"])
+        _HASHES.reset()
 
     return base.map_arrow(docs, run, "id long, shingles array<long>")
 
@@ -175,9 +177,10 @@ def links(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     left = unsettled()
     if left.isEmpty():
         return found
-    first = left.where("id = lead").select("band", F.col("label").alias("own"))
-    pivots = left.join(first, "band").groupBy("band").agg(F.max(F.when(F.col("label") == F.col("own"), F.struct("id", "label"))).alias("inner"), F.min(F.when(F.col("label") != F.col("own"), F.struct("id", "label"))).alias("outer"))
-    pivots = base.store(pivots.select("band", F.explode(F.array("inner", "outer")).alias("p")).select("band", "p.*").toDF("band", "pivot", "side"), "pivots")
+    # of the least class the last member, of the greatest the first: partial aggregates, whatever the size of a band
+    low, high = F.min(F.struct("label", (-F.col("id")).alias("n"))).alias("low"), F.max(F.struct("label", (-F.col("id")).alias("n"))).alias("high")
+    ends = left.groupBy("band").agg(low, high).select("band", F.explode(F.array("low", "high")).alias("p"))
+    pivots = base.store(ends.select("band", (-F.col("p.n")).alias("pivot"), F.col("p.label").alias("side")), "pivots")
     found = base.store(found.unionByName(linked(left.join(pivots, "band").where("label <> side").select(F.col("pivot").alias("a"), F.col("id").alias("b")))[1]), "links")
     left = unsettled()
     if left.isEmpty():
