@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from oremill.functions import scoring as S
 from oremill.functions import text as X
 from oremill.operators import access, chunking, context, governance, memory, retrieval, upsert
+from oremill.plans.shipping import ship
 from oremill.sources.catalog import Catalog
 
 DEFAULT_BUCKET = "bkt_default"
@@ -47,6 +48,7 @@ class Engine:
     """spark, the folder of its tables, and a configuration."""
 
     def __init__(self, spark: SparkSession, root: str, config: Config | None = None):
+        ship(spark)
         self.spark, self.catalog, self.config = spark, Catalog(spark, root), config or Config()
 
     def _check(self, action: str, who: access.Identity) -> None:

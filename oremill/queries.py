@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -14,6 +15,7 @@ from oremill.functions import temporal as T
 from oremill.functions import text as X
 from oremill.operators import access as A
 from oremill.operators import chunking, context, governance, graph, intent, memory, ontology, resolution, retrieval, upsert
+from oremill.plans.shipping import ship
 from oremill.streaming import events as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,7 +24,12 @@ ORACLES: dict[str, str] = {}
 
 def query(sql: str | None = None):
     def add(f):
-        QUERIES[f.__name__] = f
+        @functools.wraps(f)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return f(spark, sf_dir)
+
+        QUERIES[f.__name__] = run
         if sql:
             ORACLES[f.__name__] = sql
         return f
