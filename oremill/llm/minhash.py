@@ -7,8 +7,10 @@
    each. A register keeps the shingle of its first arrival, so two texts agree in a register with the probability
    Jaccard similarity of their weighted shingles. Arrivals are drawn round by round for a batch of texts at once,
    and a shingle's process ends at its first arrival after the latest of its text's register minima.
-3. Banding: BANDS groups of ROWS registers. At similarity 0.8 a pair shares no band with a probability of 5e-6.
-   Bands with one representative are dropped.
+3. Banding: BANDS groups of ROWS registers of the weighted sketch, and of the sketch of the bare set (all weights 1)
+   where a shingle is repeated; without repeats the two are the same. Links are defined by bare sets, and two texts'
+   bare sketches agree in a register with the probability of their sets' Jaccard similarity, so that at 0.8 a pair
+   shares no band with a probability of 5e-6, whatever its weights. Bands with one representative are dropped.
 4. Verification. A pair is a link where the exact Jaccard similarity of its sets of shingles reaches the threshold.
    In every band the smallest id leads, and only pairs with the leader are compared (a star, never all pairs). Links
    give classes; bands whose members have one class are settled. One round of further stars, from a member of
@@ -110,7 +112,11 @@ def band_keys(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def _sketches(docs: DataFrame, bands: int, rows: int, k: int) -> DataFrame:
-    """id, words_key (of the sequence of words; null without words) and the keys of its bands."""
+    """id, words_key (of the sequence of words; null without words) and the distinct keys of its bands."""
+    number = mix(np.arange(bands, dtype=np.uint64))
+
+    def keyed(texts: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        return mix(band_keys(probminhash(texts, bands * rows), bands, rows).view(np.uint64) ^ number).view(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -124,8 +130,13 @@ def _sketches(docs: DataFrame, bands: int, rows: int, k: int) -> DataFrame:
                 while to < len(full) and (to == at or total + len(words[full[to]]) <= 200_000):
                     total += len(words[full[to]])
                     to += 1
-                for i, x in zip(full[at:to], band_keys(probminhash([weighted(words[i], k) for i in full[at:to]], bands * rows), bands, rows), strict=True):
+                texts = [weighted(words[i], k) for i in full[at:to]]
+                for i, x in zip(full[at:to], keyed(texts), strict=True):
                     got[i] = x
+                repeats = [(i, (v, np.ones(len(v)))) for i, (v, w) in zip(full[at:to], texts, strict=True) if w.max() > 1]
+                if repeats:
+                    for (i, _), x in zip(repeats, keyed([t for _, t in repeats]), strict=True):
+                        got[i] = np.unique(np.r_[got[i], x])
                 at = to
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.binary()), pa.array(got, pa.list_(pa.int64()))], ["id", "words_key", "bands"])
         _HASHES.reset()  # the worker lives on for other operators
@@ -226,7 +237,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     sketches = base.store(_sketches(own, bands, rows, k), "sketches")
     usable = F.col("words_key").isNotNull() & F.col("id").isNotNull()
     reps = base.store(sketches.where(usable).groupBy("words_key").agg(F.min("id").alias("rep"), F.first("bands").alias("bands")), "representatives")
-    banded = reps.select("rep", F.posexplode("bands").alias("i", "key")).select(F.xxhash64("key", "i").alias("band"), F.col("rep").alias("id"))
+    banded = reps.select("rep", F.explode("bands").alias("band")).select("band", F.col("rep").alias("id"))
     shared = base.store(banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band"), "shared-bands")
     members = base.store(banded.join(shared, "band"), "members")
     wanted = base.store(members.select("id").distinct(), "candidates")

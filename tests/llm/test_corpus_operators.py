@@ -68,6 +68,21 @@ def test_near_duplicate_chains_and_passages(spark):
     assert {x["doc_id"]: x["class_id"] for x in got.collect()} == plain_classes(texts)
 
 
+@pytest.mark.parametrize(("extra", "times"), [(20, 100), (20, 20), (15, 50)])
+def test_near_duplicates_that_repeat_a_line(spark, extra, times):
+    """Pairs whose sets are alike (0.83 or more) though one text repeats a line: their weights are not."""
+    r = random.Random(extra * times)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(9))
+    texts = {}
+    for i in range(0, 60, 2):
+        common, line = [word() for _ in range(104)], [word() for _ in range(extra - 4)]
+        texts[i], texts[i + 1] = " ".join(common), " ".join(common + line * times)
+    want = plain_classes(texts)
+    assert sum(i != c for i, c in want.items()) == 30
+    got = minhash.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+    assert {x["doc_id"]: x["class_id"] for x in got.collect()} == want
+
+
 def test_probability_jaccard():
     a, b = minhash.mix(np.arange(1, 1001, dtype=np.uint64)), minhash.mix(np.arange(101, 1101, dtype=np.uint64))
     s = minhash.probminhash([(a, np.ones(1000)), (b, np.ones(1000))], 4000)
