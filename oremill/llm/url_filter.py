@@ -4,10 +4,11 @@ Rules fit a host and all its subdomains where the path starts with the rule's; t
 Other URLs are judged by boosted trees trained on labelled URLs. Training runs as DataFrame aggregates: features
 are binned at quantiles, each level of each tree is one pre-aggregated histogram of (leaf, feature, bin), whose
 gradient sums are integers (millionths), so that results don't depend on the order of addition. A trained tree
-is a CASE expression over columns; scoring is a projection with no shuffle.
+is a CASE expression over columns; scoring is a projection after the join with the rates of suffixes.
 
-The trees learn from at most SAMPLE labelled URLs, the first by hash; suffix statistics come from those too, so
-their table has SAMPLE rows at most and is broadcast.
+The trees learn from at most SAMPLE labelled URLs, the first by hash. The label rates of suffixes, and of all, are
+counted over all labelled URLs into a stored table with a row a suffix. It joins without a hint: both sides are
+tables, so adaptive execution splits the rows of a hot suffix.
 
 Defined results: a null url, or one without ``://``, has an empty host and path, fits no rule and is judged by the
 trees; with no labelled URL everything is allowed; repeated rows give repeated results; extra columns are ignored.
@@ -66,10 +67,15 @@ def lexical(df: DataFrame, url_col: str) -> DataFrame:
         .withColumn("hyphens", count(F.col("host"), "-").cast("double"))
         .withColumn("longest", F.coalesce(F.array_max(F.transform(F.split("host", "\\."), F.length)), F.lit(0)).cast("double"))
         .withColumn("secure", F.lower(url).startswith("https:").cast("double"))
-        .withColumn("suffix", F.regexp_extract("host", "([^.]*\\.[^.]*\\.)?[^.]*$", 0))
+        .withColumn("suffix", suffix_of(F.col("host")))
     )
 
 
+def suffix_of(host: Column) -> Column:
+    """The last three labels of a host, or its last."""
+    return F.regexp_extract(host, "([^.]*\\.[^.]*\\.)?[^.]*$", 0)
+
+
 def _score(trees: list[list], bias: float) -> Column:
     """The margin: bias and, for each tree, the value of the leaf that the features lead to."""
     total = F.lit(bias)
@@ -146,17 +152,19 @@ def with_suffixes(df: DataFrame, stats: DataFrame, prior: float, own: Column | N
     n, s = F.coalesce("__n", F.lit(0)), F.coalesce("__s", F.lit(0))
     if own is not None:
         n, s = n - 1, s - own
-    return df.join(F.broadcast(stats), "suffix", "left").withColumn("suffix_rate", F.round((s + prior * PRIOR) / (n + PRIOR), 6)).withColumn("suffix_rows", n.cast("double")).drop("__n", "__s")
+    return df.join(stats, "suffix", "left").withColumn("suffix_rate", F.round((s + prior * PRIOR) / (n + PRIOR), 6)).withColumn("suffix_rows", n.cast("double")).drop("__n", "__s")
 
 
 def judge(pages: DataFrame, labelled: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id", url_col: str = "url", at: float = 0.5) -> DataFrame:
     """id, host, path, rule, verdict and score (the trees' chance of block) of every url.
 
     labelled: url and y (1: block)."""
-    sample = labelled.where(F.col("url").isNotNull() & F.col("y").isNotNull()).select("url", F.col("y").cast("int").alias("y")).orderBy(F.xxhash64("url"), "url", "y").limit(SAMPLE)
-    sample = base.store(lexical(sample, "url"), "url-sample")
-    prior = sample.agg(F.avg("y")).first()[0] or 0.0
-    stats = base.store(sample.groupBy("suffix").agg(F.count("*").alias("__n"), F.sum("y").alias("__s")), "url-suffixes")
+    labelled = base.store(labelled.where(F.col("url").isNotNull() & F.col("y").isNotNull()).select("url", F.col("y").cast("int").alias("y")), "url-labelled")
+    sample = base.store(lexical(labelled.orderBy(F.xxhash64("url"), "url", "y").limit(SAMPLE), "url"), "url-sample")
+    stats = labelled.groupBy(suffix_of(parse(F.col("url"))[0]).alias("suffix")).agg(F.count("*").alias("__n"), F.sum("y").alias("__s"))
+    stats = base.store(stats, "url-suffixes")
+    n, ones = stats.agg(F.sum("__n"), F.sum("__s")).first()
+    prior = ones / n if n else 0.0
     margin = train(with_suffixes(sample, stats, prior, F.col("y")))
     own = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"))
     scored = with_suffixes(lexical(own, "url"), stats, prior).withColumn("score", 1 / (1 + F.exp(-margin)))

@@ -259,6 +259,19 @@ def test_url_trees_learn(spark):
     assert sum((got[i] == "block") == bool(y) for i, (_, y) in enumerate(rows[400:])) >= 195
 
 
+def test_url_suffixes_of_all_labels(spark):
+    """More labelled urls than the trees learn from: a suffix is judged by all of its labels, not by those in the sample."""
+    y = (F.crc32(F.col("s").cast("string")) % 2).cast("int").alias("y")
+    host = F.concat(F.lit("https://s"), F.lpad(F.col("s").cast("string"), 4, "0"), F.lit(".example.net/"))
+    each = spark.range(60_000).withColumn("s", F.col("id") % 6000)
+    assert each.count() > url_filter.SAMPLE
+    labelled = each.select(F.concat(host, F.lpad((F.col("id") * 7919 % 99991).cast("string"), 5, "0")).alias("url"), y)
+    pages = spark.range(6000).withColumn("s", F.col("id")).select(F.col("id").alias("page_id"), F.concat(host, F.lpad("s", 5, "9")).alias("url"), y)
+    got = url_filter.judge(pages, labelled, []).join(pages.select("page_id", "y"), "page_id").collect()
+    assert len(got) == 6000
+    assert [r["page_id"] for r in got if (r["verdict"] == "block") != bool(r["y"])] == []
+
+
 def test_empty_tables(spark, none):
     assert exact_dedup.exact_dedup(none).count() == 0
     assert sentencepiece_codec.digests(none, PIECE).count() == 0
