@@ -1,8 +1,8 @@
 """Entity resolution and rule-based extraction.
 
 Resolution blocks names by shared trigrams of their folded form that are rare enough to tell (a prefix filter, exact for the
-threshold), scores candidate pairs by trigram Jaccard, drops pairs that the name rules forbid, and takes connected components;
-the smallest id is canonical."""
+threshold) among names with the same numbers, as the name rules want, scores candidate pairs by trigram Jaccard, drops pairs
+that the name rules forbid, and takes connected components; equal folded names are one whatever their length; the smallest id is canonical."""
 
 from __future__ import annotations
 
@@ -46,16 +46,19 @@ def candidates(entities: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """a < b, score: pairs of unlike names of one type whose trigram Jaccard reaches the threshold.
 
     Two sets of that similarity share a trigram among the rarest (1 - threshold) share of both, plus one."""
-    e = entities.select("id", "name", "type", F.regexp_replace(fold("name"), " ", "").alias("flat")).where(F.length("flat") >= 3)
+    folded = entities.select("id", "name", "type", fold("name").alias("folded"))
+    numbers = F.array_join(F.array_sort(F.regexp_extract_all("folded", F.lit("([0-9]+)"))), " ").alias("numbers")
+    e = folded.select("id", "name", "type", F.regexp_replace("folded", " ", "").alias("flat"), numbers).where(F.length("flat") > 0)
     e = store(e.withColumn("grams", S.trigrams(F.col("flat"))), "names")
-    reps = e.groupBy("flat", "type").agg(F.min_by(F.struct("id", "name", "grams"), "id").alias("r")).select("flat", "type", "r.*")
-    g = reps.select("id", "type", F.size("grams").alias("n"), F.explode("grams").alias("g"))
-    often = g.groupBy("type", "g").agg(F.count("*").alias("often"))
+    reps = e.groupBy("flat", "type").agg(F.min_by(F.struct("id", "name", "numbers", "grams"), "id").alias("r")).select("flat", "type", "r.*")
+    block = ["type", "numbers", "g"]
+    g = reps.where(F.length("flat") >= 3).select("id", "type", "numbers", F.size("grams").alias("n"), F.explode("grams").alias("g"))
+    often = g.groupBy(*block).agg(F.count("*").alias("often"))
     place = F.row_number().over(Window.partitionBy("id").orderBy("often", "g"))
-    first = g.join(often, ["type", "g"]).withColumn("place", place).where(F.col("place") <= F.floor(F.col("n") * (1 - threshold) + 1e-9) + 1)
-    first = store(first.select("id", "type", "n", "g"), "prefixes")
-    a, b = first.toDF("a", "type", "an", "g"), first.toDF("b", "type", "bn", "g")
-    near = a.join(b, ["type", "g"]).where((F.col("a") < F.col("b")) & (F.least("an", "bn") >= threshold * F.greatest("an", "bn"))).select("a", "b").distinct()
+    first = g.join(often, block).withColumn("place", place).where(F.col("place") <= F.floor(F.col("n") * (1 - threshold) + 1e-9) + 1)
+    first = store(first.select("id", "type", "numbers", "n", "g"), "prefixes")
+    a, b = first.toDF("a", "type", "numbers", "an", "g"), first.toDF("b", "type", "numbers", "bn", "g")
+    near = a.join(b, block).where((F.col("a") < F.col("b")) & (F.least("an", "bn") >= threshold * F.greatest("an", "bn"))).select("a", "b").distinct()
     names = reps.select("id", "name", "type", "flat")
     both = near.join(names.toDF("a", "a_name", "type", "a_flat"), "a").join(names.select("id", "name", "flat").toDF("b", "b_name", "b_flat"), "b")
     scored = both.withColumn("score", S.trigram_jaccard(F.col("a_flat"), F.col("b_flat"))).where(F.col("score") >= threshold)

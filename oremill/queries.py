@@ -647,8 +647,7 @@ def chunk_text(spark, sf_dir):
 
 @query()
 def entity_resolution(spark, sf_dir):
-    names = R.entities(spark, sf_dir).where("type IN ('product', 'organization', 'location')")
-    return resolution.resolve(names)
+    return resolution.resolve(R.entities(spark, sf_dir))
 
 
 @query()

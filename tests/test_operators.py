@@ -180,3 +180,16 @@ def test_contradictions(spark):
     rows = [("Bob KILLED Al", "Al", "KILLED", "Bob"), ("Al killed Bob", "Al", "KILLED", "Bob"), ("a (b) c", "c", "x", "(b)")]
     df = frame(spark, rows, "t string, s string, r string, o string")
     assert [r[0] for r in df.select(knowledge.contradicts(F.col("t"), F.col("s"), F.col("r"), F.col("o"))).collect()] == [True, False, False]
+
+
+def test_resolution_of_all_entities_and_short_names(spark):
+    import __spark_entry__
+    from oremill import relations
+
+    sf = "/root/testdata/sf0.001"
+    got = {r["id"]: r["canonical_id"] for r in __spark_entry__.queries()["entity_resolution"](spark, sf).collect()}
+    assert got.keys() == {r["id"] for r in relations.entities(spark, sf).collect()}
+    assert all(got[i] == i for i in got if i.startswith(("cust:", "ord:")))  # their numbers differ
+    rows = [("a", "HP", "organization"), ("b", "h.p", "organization"), ("c", "HQ", "organization"), ("d", "--", "organization"), ("e", "!", "organization"), ("f", "Jonathan Bartholomew Montgomery Smithson 7", "person"), ("g", "Jonathan Bartholomew Montgomery Smithsons 7", "person"), ("h", "Jonathan Bartholomew Montgomery Smithson 8", "person")]
+    got = {r["id"]: r["canonical_id"] for r in resolution.resolve(frame(spark, rows, "id string, name string, type string")).collect()}
+    assert got == {"a": "a", "b": "a", "c": "c", "d": "d", "e": "e", "f": "f", "g": "f", "h": "h"}
