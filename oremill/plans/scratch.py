@@ -12,26 +12,45 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def root(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a temporary folder where none is set (a single machine)."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or "file://" + os.path.join(tempfile.gettempdir(), "oremill-tables")).rstrip("/")
+    """spark.checkpoint.dir. Where it is unset, a temporary folder, but only on a single machine: elsewhere executors wouldn't share it."""
+    if given := spark.conf.get("spark.checkpoint.dir", None):
+        return given.rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return "file://" + os.path.join(tempfile.gettempdir(), "oremill-tables")
 
 
-_WRITTEN: list[tuple[SparkSession, str]] = []
+_WRITTEN: dict[str, SparkSession] = {}
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 @atexit.register
 def clear() -> None:
     """Delete all tables of this process; at its end, or earlier when no result depends on them any more."""
     while _WRITTEN:
-        spark, path = _WRITTEN.pop()
+        path, spark = _WRITTEN.popitem()
         with contextlib.suppress(Exception):  # the session may be gone
-            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+            _delete(spark, path)
 
 
 def store(df: DataFrame, tag: str) -> DataFrame:
-    """Write df and read it back."""
-    path = f"{root(df.sparkSession)}/oremill/{tag}-{uuid.uuid4().hex}"
-    _WRITTEN.append((df.sparkSession, path))
+    """Write df and read it back: cuts lineage, survives lost executors."""
+    spark = df.sparkSession
+    path = f"{root(spark)}/oremill/{tag}-{uuid.uuid4().hex}"
+    _WRITTEN[path] = spark
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._oremill_path = path
+    return out
+
+
+def drop(*stored: DataFrame | None) -> None:
+    """Delete tables made by store() that nothing reads any more."""
+    for df in stored:
+        if (path := getattr(df, "_oremill_path", None)) and (spark := _WRITTEN.pop(path, None)):
+            _delete(spark, path)
