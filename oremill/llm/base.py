@@ -1,19 +1,15 @@
-"""Shared plumbing: scratch tables, shipping the package to executors, Arrow map helpers."""
+"""Shared plumbing of the operators: reading, Arrow maps, memos."""
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-import os
-import tempfile
-import uuid
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from oremill.plans.scratch import clear, drop, store  # noqa: F401
+from oremill.plans.shipping import ship
+
 #: Rows in one Arrow batch sent to Python: at 20,000 words a row this stays near 100 MB.
 ARROW_ROWS = 512
 
@@ -22,69 +18,16 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder that every executor sees: spark.checkpoint.dir, or a local one where it is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + os.path.join(tempfile.gettempdir(), "oremill-scratch")
-    return root.rstrip("/")
-
-
-_WRITTEN: list[tuple[SparkSession, str]] = []
-
-
-@atexit.register
-def clear() -> None:
-    """Delete all tables of store(); at the end of the process, or earlier when no result depends on them any more."""
-    while _WRITTEN:
-        table = _WRITTEN.pop()
-        with contextlib.suppress(Exception):  # the session may be gone
-            _delete(*table)
-
-
-def store(df: DataFrame, tag: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_root(spark)}/oremill/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._oremill_path = path
-    _WRITTEN.append((spark, path))
-    return out
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def drop(*stored: DataFrame | None) -> None:
-    """Delete tables made by store() that nothing reads any more."""
-    for df in stored:
-        if path := getattr(df, "_oremill_path", None):
-            _delete(df.sparkSession, path)
-
-
-def ship(spark: SparkSession) -> None:
-    """Send this package's sources to the executors once a context, so workers can import it anywhere."""
-    sc = spark.sparkContext
-    if getattr(sc, "_oremill_shipped", False):
-        return
-    top = Path(__file__).resolve().parents[1]
-    out = Path(tempfile.mkdtemp(prefix="oremill-")) / "oremill_src.zip"
-    with zipfile.ZipFile(out, "w") as z:
-        for p in sorted(top.rglob("*.py")):
-            z.write(p, f"{top.name}/{p.relative_to(top)}")
-    sc.addPyFile(str(out))
-    sc._oremill_shipped = True
-
-
-def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow with small batches and the package shipped."""
-    spark = df.sparkSession
+def prepare(spark: SparkSession) -> None:
+    """Ship the package, and keep this session's Arrow batches at ARROW_ROWS rows at most: whole texts make the usual ones too large."""
     ship(spark)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > ARROW_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+
+
+def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """mapInArrow with the session prepared."""
+    prepare(df.sparkSession)
     return df.mapInArrow(fn, schema)
 
 

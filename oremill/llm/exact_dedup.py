@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import base
@@ -33,11 +33,11 @@ DELETED = "[\\x20\\x09-\\x0D]+"
 _ROW = "__oremill_row"
 
 
-def _blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _blocks(docs: DataFrame, id_col: str, text_col: str, row: Column | None) -> DataFrame:
     """One row per block: row, pos, block, parts; the document's own columns at pos 0 only."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     whole = docs.select(
-        F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.length(text).alias("n_chars"), F.regexp_replace(text, DELETED, "").alias("norm")
+        (F.monotonically_increasing_id() if row is None else row).alias("row"), F.col(id_col).alias("id"), F.length(text).alias("n_chars"), F.regexp_replace(text, DELETED, "").alias("norm")
     )
     split = whole.select("row", "id", "n_chars", F.length("norm").alias("n_norm"), F.sha2("norm", 256).alias("sha"), F.posexplode_outer(F.regexp_extract_all("norm", F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))).alias("pos", "block"))
     first = F.coalesce("pos", F.lit(0)) == 0
@@ -67,9 +67,11 @@ def _named_blocks(blocks: DataFrame) -> DataFrame:
     return keyed.select("row", "pos", "n_norm", "parts", "id", "n_chars", "sha", "number", F.coalesce("hot", F.first("number").over(same)).alias("name"))
 
 
-def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """row, id, n_chars, n_norm, sha, name: equal (n_norm, name) means equal normalised texts."""
-    level = base.store(_named_blocks(_blocks(docs, id_col, text_col)), "level0")
+def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row: Column | None = None) -> DataFrame:
+    """row, id, n_chars, n_norm, sha, name: equal (n_norm, name) means equal normalised texts.
+
+    row: a stored number of each row, unique; else rows are numbered in the one scan that makes the names."""
+    level = base.store(_named_blocks(_blocks(docs, id_col, text_col, row)), "level0")
     heads = level.where("pos = 0").select("row", "id", "n_chars", "n_norm", "sha", "parts", F.col("name").alias("own"))
     deepest = level.agg(F.max("parts")).first()[0] or 1
     left, done = level.where("parts > 1").select("row", "pos", "parts", "number", "name"), None
@@ -90,23 +92,27 @@ def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return heads.join(done, "row", "left").withColumn("name", F.coalesce("name", "own")).drop("own", "parts")
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_row: bool = False) -> DataFrame:
-    """One row per document: id, keep_id, group_size, kept, text_sha256 (, its row number in docs).
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row: Column | None = None) -> DataFrame:
+    """One row per document: id, keep_id, group_size, kept, text_sha256 (, and its row number, if `row` gives a stored one).
 
     Of equal texts, the one with the most code points stays, then the smallest id."""
-    each = base.store(identities(docs, id_col, text_col), "identities")
+    each = base.store(identities(docs, id_col, text_col, row), "identities")
     best = F.min(F.struct((-F.col("n_chars")).alias("n"), F.col("id").isNull().alias("none"), "id", "row"))
     groups = base.store(each.groupBy("n_norm", "name").agg(best.alias("best"), F.count("*").alias("group_size")), "groups")
     out = each.join(groups, ["n_norm", "name"])
     return out.select(
-        F.col("id").alias(id_col), F.col("best.id").alias("keep_id"), "group_size", (F.col("row") == F.col("best.row")).alias("kept"), F.col("sha").alias("text_sha256"), *([F.col("row").alias(_ROW)] if with_row else [])
+        F.col("id").alias(id_col), F.col("best.id").alias("keep_id"), "group_size", (F.col("row") == F.col("best.row")).alias("kept"), F.col("sha").alias("text_sha256"), *([] if row is None else [F.col("row").alias(_ROW)])
     )
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, with all their columns. docs must be read from files, so that its row numbers stay the same."""
-    kept = exact_dedup(docs, id_col, text_col, with_row=True).where("kept").select(_ROW)
-    return docs.withColumn(_ROW, F.monotonically_increasing_id()).join(kept, _ROW, "left_semi").drop(_ROW)
+    """The rows of docs that stay, with all their columns.
+
+    docs is stored once with a number for each row, and both the names and the rows that stay are read from that table: numbers made
+    in two scans would differ whenever the files are split otherwise, as with another number of executors."""
+    numbered = base.store(docs.withColumn(_ROW, F.monotonically_increasing_id()), "numbered")
+    kept = exact_dedup(numbered, id_col, text_col, F.col(_ROW)).where("kept").select(_ROW)
+    return numbered.join(kept, _ROW, "left_semi").drop(_ROW)
 
 
 ORACLE = """

@@ -63,6 +63,22 @@ def test_exact_dedup(spark, odd, monkeypatch, block, hot):
     assert kept.count() == len({re.sub(r"[\x20\x09-\x0d]", "", r[1] or "") for r in ROWS})
 
 
+def test_keep_first_when_files_are_split_anew(spark, odd):
+    """Reading with another parallelism than planning must lose nothing."""
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    want = {i for i, k, *_ in plain_dedup([(r["doc_id"], r["text"]) for r in docs.collect()]) if i == k}
+    try:
+        for sizes in (("128m", "10k"), ("10k", "128m")):
+            spark.conf.set(key, sizes[0])
+            kept = exact_dedup.keep_first(spark.read.parquet(f"{SF}/documents.parquet"))
+            spark.conf.set(key, sizes[1])
+            assert {r["doc_id"] for r in kept.select("doc_id").collect()} == want
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_exact_dedup_random(spark, monkeypatch):
     monkeypatch.setattr(exact_dedup, "BLOCK", 3)
     monkeypatch.setattr(exact_dedup, "MIN_HOT", 5)
@@ -101,7 +117,34 @@ def test_state_maps_compose_in_any_order():
         for x in reversed(m[:-1]):
             right = t.compose(x, right)
         assert left == right == token_counts.scan(m, t.compose)[-1]
-        assert left.applied(t) == t.count(s)
+        assert t.total(left) == t.count(s)
+
+
+def test_token_counts_of_every_character():
+    """Classes and normalisation are the tokenizer's own, whatever Python's tables know."""
+    library = Tokenizer.from_file(WORD)
+    t = token_counts.Transducer(open(WORD, encoding="utf-8").read())
+    points = [c for c in (*range(0x20000), *range(0x30000, 0x32400), *range(0xE0000, 0xE0200)) if not 0xD800 <= c < 0xE000]
+    texts = [f"{c}'s .{c}! 1{c} x{c}" for c in map(chr, points)]
+    want = [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert [p for p, s, n in zip(points, texts, want, strict=True) if t.count(s) != n] == []
+
+
+def test_transitions_emit_what_is_certain():
+    """Tokens emitted never shrink, and a bounded table of states that begins anew changes nothing."""
+    t = token_counts.Transducer(open(WORD, encoding="utf-8").read())
+    library = Tokenizer.from_file(WORD)
+    r = random.Random(3)
+    for _ in range(300):
+        w = "".join(r.choice("aeinorst") for _ in range(r.randint(1, 25)))
+        at, total = t.boundary, 0
+        for c in w + " ":
+            at, n = t.read(at, c)
+            assert n >= 0
+            total += n
+        assert total == len(library.encode(w, add_special_tokens=False).ids) and at == t.boundary
+        if r.random() < 0.1:
+            t.words.states.clear()
 
 
 def test_long_word_merges():
