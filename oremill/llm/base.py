@@ -32,21 +32,29 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
 
 
 class Memo(dict):
-    """A dict that computes what it lacks and starts anew when it holds `most` entries or `chars` characters."""
+    """A dict that computes what it lacks, of two generations: when the younger one holds half of `most` entries or of `chars`
+    characters it becomes the older one, which is forgotten; what is found there is young again."""
 
-    def __init__(self, make: Callable, most: int = 200_000, chars: int = 8_000_000):
+    def __init__(self, make: Callable | None, most: int = 200_000, chars: int = 8_000_000):
         super().__init__()
-        self.make, self.most, self.chars, self.held = make, most, chars, 0
+        self.make, self.most, self.chars, self.held, self.old = make, most // 2, chars // 2, 0, {}
 
     def reset(self) -> None:
         self.clear()
-        self.held = 0
+        self.held, self.old = 0, {}
 
     def __missing__(self, key):
-        out = self.make(key)
+        out = self.old.get(key)
+        if out is None:
+            out = self.make(key)
+        self.put(key, out)
+        return out
+
+    def put(self, key, out) -> None:
         if len(key) <= 256:
             if len(self) >= self.most or self.held > self.chars:
-                self.reset()
+                self.old = dict(self)
+                self.clear()
+                self.held = 0
             self.held += len(key)
             self[key] = out
-        return out

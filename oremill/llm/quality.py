@@ -215,12 +215,12 @@ def scored(model: Model, inputs: list[Column]) -> Column:
 
 def score(docs: DataFrame, model: Model, at: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, score (chance of label 1), predicted and each view's calibrated chance."""
-    base.ship(docs.sparkSession)
+    base.prepare(docs.sparkSession)
     out = docs.select(F.col(id_col), scored(model, _inputs(docs, text_col)).alias("s"))
     return out.select(id_col, "s.score", (F.col("s.score") >= at).cast("int").alias("predicted"), "s.text_score", "s.meta_score")
 
 
 def keep_good(docs: DataFrame, model: Model, at: float = 0.5, text_col: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, whose score is at least `at`."""
-    base.ship(docs.sparkSession)
+    base.prepare(docs.sparkSession)
     return docs.where(scored(model, _inputs(docs, text_col))["score"] >= at)

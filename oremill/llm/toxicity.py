@@ -296,7 +296,7 @@ def scored(model: Model, text: Column, id_type: str = "long") -> Column:
 
 def score(docs: DataFrame, model: Model, at: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, score, predicted and evidence of every row. No shuffle."""
-    base.ship(docs.sparkSession)
+    base.prepare(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     out = docs.select(F.col(id_col), scored(model, F.col(text_col), kind).alias("s"))
     return out.select(id_col, "s.score", (F.col("s.score") >= at).cast("int").alias("predicted"), "s.evidence")
@@ -304,5 +304,5 @@ def score(docs: DataFrame, model: Model, at: float = 0.7, id_col: str = "doc_id"
 
 def keep_clean(docs: DataFrame, model: Model, at: float = 0.7, text_col: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, whose score is under `at`."""
-    base.ship(docs.sparkSession)
+    base.prepare(docs.sparkSession)
     return docs.where(scored(model, F.col(text_col))["score"] < at)

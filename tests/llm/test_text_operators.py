@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import io
 import random
 import re
 import zlib
@@ -157,12 +158,11 @@ def test_long_word_merges():
 def test_sentencepiece_as_library(spark, odd):
     sp = sentencepiece.SentencePieceProcessor(model_file=PIECE)
     c = sentencepiece_codec.Codec(open(PIECE, "rb").read())
-    for s in strings(1500):
+    texts = strings(1500)
+    for s, (n, a, b, crc), (own, ends) in zip(texts, c.digests(texts), c.spans(texts), strict=True):
         ids = [*sp.encode(s), sp.eos_id()]
-        n, a, b, crc = c.digest(s)
         assert (n, a, b) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(sp.decode(ids).encode()).hexdigest()), s
         assert c.encode(s) == ids and c.decode(ids) == sp.decode(ids)
-        own, ends = c.spans(s)
         assert own == ids[:-1] and zlib.crc32(ends.astype("<u4").tobytes()) == crc
         assert np.all(np.diff(np.r_[0, ends]) >= 0) and (not len(ends) or ends[-1] == len(s.encode()))
     made = sentencepiece_codec.encode(odd, PIECE)
@@ -182,6 +182,28 @@ def test_character_map_as_library(rule):
         assert len(align) == len(got) + 1 and np.all(np.diff(align) >= 0)
 
 
+@pytest.mark.parametrize("rule,kind,fallback", [("nmt_nfkc", "bpe", True), ("nmt_nfkc", "unigram", False), ("nfkc_cf", "bpe", False), ("nfkc_cf", "unigram", True)])
+def test_codec_of_models_with_a_map(spark, rule, kind, fallback):
+    """Models that rewrite text are encoded through our normaliser; spans point to the bytes that were rewritten."""
+    out, r = io.BytesIO(), random.Random(4)
+    words = ["".join(r.choice("abcdeilnorst") for _ in range(r.randint(2, 9))) for _ in range(400)]
+    sentencepiece.SentencePieceTrainer.train(
+        sentence_iterator=iter([" ".join(r.choices(words, k=12)) for _ in range(200)]), model_writer=out, vocab_size=400, model_type=kind, normalization_rule_name=rule, byte_fallback=fallback, hard_vocab_limit=False, minloglevel=2
+    )
+    c, sp = sentencepiece_codec.Codec(out.getvalue()), sentencepiece.SentencePieceProcessor(model_proto=out.getvalue())
+    texts = [*strings(600), "ﬁ ｱﾊﾟｰﾄ ① ½ É", "  two  spaces  ", "x ▁"]
+    for s, (ids, ends) in zip(texts, c.spans(texts), strict=True):
+        assert ids == sp.encode(s) and c.decode(ids) == sp.decode(ids), s
+        assert np.all(np.diff(np.r_[0, ends]) >= 0) and (not len(ends) or ends[-1] <= len(s.encode()))
+    # the bytes of a piece, normalised by the library, are the piece
+    n = sentencepiece.SentencePieceNormalizer(rule_name=rule, add_dummy_prefix=False, escape_whitespaces=True, remove_extra_whitespaces=False)
+    source = "ﬁne ①② ½ Ünder"
+    (ids, ends), = c.spans([source])
+    for i, a, b in zip(ids, np.r_[0, ends[:-1]], ends, strict=True):
+        got = n.Normalize(source.encode()[a:b].decode("utf-8", "replace")) if b > a else ""
+        assert i in c.byte or i == c.unknown or c.pieces[i].lstrip("▁") in got
+
+
 # --- packing
 
 
