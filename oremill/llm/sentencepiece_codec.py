@@ -20,7 +20,7 @@ import hashlib
 import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -221,13 +221,22 @@ class Codec:
         return out.decode("utf-8", "replace").replace(SPACE, " ")
 
     def decode(self, ids: list[int]) -> str:
-        """As the library's decode: a space mark that begins the first piece goes, where the model adds or squeezes spaces."""
-        return self.trimmed(self.decode_pieces(ids), next((i for i in ids if i not in self.hidden), None))
-
-    def trimmed(self, text: str, first: int | None) -> str:
-        if first is None or not self.pieces[first].startswith(SPACE) or not (self.normalizer.dummy or self.normalizer.squeeze):
-            return text
-        return text[1:]
+        """As the library's decode."""
+        return self.trimmed(self.decode_pieces(ids), ids)
+
+    def trimmed(self, text: str, ids: Iterable[int]) -> str:
+        """Where the model adds or squeezes spaces, the mark that begins the first piece goes; if it squeezes them, those of pieces that are nothing else too."""
+        n = 0
+        if self.normalizer.dummy or self.normalizer.squeeze:
+            for i in ids:
+                if i in self.hidden:
+                    continue
+                if not self.pieces[i].startswith(SPACE):
+                    break
+                n += 1
+                if not self.normalizer.squeeze or len(self.pieces[i]) > 1:
+                    break
+        return text[n:]
 
     def projected(self, align: np.ndarray, got: list[tuple[str, int, bytes, str]]) -> np.ndarray:
         """The source byte where each id ends, by the alignment of normalised characters."""
@@ -263,8 +272,7 @@ class Codec:
         out = []
         for align, got in self.prepared(texts):
             ids, decoded = "".join([x[0] + " " for x in got]), "".join([x[3] for x in got])
-            if got:
-                decoded = self.trimmed(decoded, int(got[0][0].split(" ", 1)[0]))
+            decoded = self.trimmed(decoded, (int(i) for x in got for i in x[0].split()))
             out.append((1 + sum([x[1] for x in got]), _sha(f"{ids}{self.end}"), _sha(decoded), zlib.crc32(self.projected(align, got).astype("<u4").tobytes())))
         return out
 
