@@ -1,12 +1,11 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-1. Examples: at most EXAMPLES labelled rows of each label, the first by hash of id (a documented bound; texts are
-   whole). Terms are words and the character n-grams of words (NGRAMS, with word ends), and
-   for each a second term that stands for its occurring twice or more; the vocabulary is the at
-   most VOCABULARY terms whose document counts in the examples depend on the label most (chi-square).
-2. Document frequencies of the vocabulary are counted over all documents. A text's vector has
-   (1 + ln tf) * (1 + ln((N + 1) / (df + 1))) by term, BACKGROUND for a term that every text has (so that a cosine
-   also tells few terms from many), and length one.
+1. Examples: at most EXAMPLES labelled rows of each label, the first by hash of id (a documented bound on labelled rows; texts are
+   whole). Terms are all words of all examples, the stems (first STEM characters) of longer ones, and for each of both a second
+   term that stands for its occurring twice or more.
+2. Document frequencies of all terms are counted over all documents. A text's vector has
+   (1 + ln tf) * (1 + ln((N + 1) / (df + 1))) * relevance by term, and length one. Relevance is the chi-square of
+   the term's presence and the label over the examples, and at least LEAST: no term is left out.
 3. Index: examples in blocks of BLOCK, ordered so that like ones lie together; for each term and block a posting
    list and the largest weight in it. A query sums the largest weights to a bound on every block's scores, scores
    blocks exactly in the order of their bounds, a few at a time, and stops when no bound exceeds the K-th best
@@ -15,19 +14,19 @@
    examples' own leave-one-out votes, weighted to the label's share among all labelled rows. Evidence: the ids,
    cosines and labels of the nearest examples.
 
-Inputs of a score are the text and nothing else. Defined results: null text is empty; a text without a term of the
-vocabulary (an empty one too) gets the share of label 1 among such examples, smoothed; a null label is no label;
-without any label the score is 0; repeated rows give repeated results; extra columns are ignored.
+Inputs of a score are the text and nothing else. Defined results: null text is empty; a text without a word of
+any example (an empty one too) gets the share of label 1 among such examples, smoothed; a null label is no label;
+without any label the score is 0, with one label only it is the share; repeated rows give repeated results; extra columns are ignored;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
 
-import ahocorasick
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -36,20 +35,23 @@ from pyspark.sql import functions as F
 
 from . import base
 
-EXAMPLES, VOCABULARY, CHI, LEAST, NGRAMS, BLOCK, K, WAVE, SMOOTH, BACKGROUND = 2000, 1024, 22.0, 16, (4, 5), 64, 16, 16, 0.25, 8.0
-#: Ends the name of the term that stands for another's second occurrence.
-TWICE = "\0"
-_OTHER = re.compile(r"[^\w\s]+")
+EXAMPLES, LEAST, BLOCK, K, WAVE, SMOOTH, LIGHT = 2000, 0.01, 64, 16, 16, 0.25, 0.02
+#: Characters of a stem, and what ends the names of stems and of terms that stand for another's second occurrence.
+STEM, STEMMED, TWICE = 5, "\1", "\0"
+_WORD = re.compile(r"\w+")
 
 
 def words_of(text: str) -> list[str]:
-    return _OTHER.sub(" ", text.lower()).split()
+    return _WORD.findall(text.lower())
 
 
-def terms_of(word: str) -> set[str]:
-    """The distinct terms of a word: itself with its ends marked, and its n-grams."""
-    marked = f"^{word}$"
-    return {marked, *(marked[i : i + n] for n in NGRAMS for i in range(len(marked) - n + 1))}
+def terms_of(text: str) -> Counter:
+    """A text's words and stems, with their counts."""
+    out = Counter(words_of(text))
+    for w, n in list(out.items()):
+        if len(w) > STEM:
+            out[w[:STEM] + STEMMED] += n
+    return out
 
 
 def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> DataFrame:
@@ -63,75 +65,69 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label
     return base.store(own.join(F.broadcast(base.store(ids, "example-ids")), "id"), "examples")  # 2 * EXAMPLES ids at most
 
 
-def vocabulary(examples: DataFrame) -> list[str]:
-    n = {r["y"]: r["count"] for r in examples.groupBy("y").count().collect()}
-    n0, n1 = n.get(0, 0), n.get(1, 0)
-    if not n0 or not n1:
-        return []
+def counted(examples: DataFrame) -> list[tuple]:
+    """id, y, terms and their counts of each example (the first text of an id that has several), by id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            by: dict[int, Counter] = {0: Counter(), 1: Counter()}
-            for text, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                n = Counter(chain.from_iterable(map(terms_of, words_of(text))))
-                by[y].update(n.keys())
-                by[y].update(t + TWICE for t, k in n.items() if k > 1)
-            for y, c in by.items():
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array([y] * len(c), pa.int32()), pa.array(list(c.values()), pa.int64())], ["term", "y", "n"])
-
-    a, b = F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0))
-    counted = base.map_arrow(examples.select("text", "y"), run, "term string, y int, n long").groupBy("term").agg(a.alias("a"), b.alias("b")).where("a + b >= 3")
-    total = n0 + n1
-    chi = total * F.pow(F.col("a") * n0 - F.col("b") * n1, F.lit(2)) / (F.lit(n1) * n0 * (F.col("a") + F.col("b")) * (total - F.col("a") - F.col("b") + 1))
-    best = counted.select("term", chi.alias("chi")).orderBy(F.desc("chi"), "term").limit(VOCABULARY).collect()
-    chosen = {r["term"] for i, r in enumerate(best) if i < LEAST or r["chi"] >= CHI}
-    return sorted(chosen | {t.rstrip(TWICE) for t in chosen})
+            got = [terms_of(x) for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([list(c) for c in got], pa.list_(pa.string())), pa.array([list(c.values()) for c in got], pa.list_(pa.int64()))], ["id", "y", "words", "n"])
+
+    kind = examples.schema["id"].dataType.simpleString()
+    rows = base.map_arrow(examples.select("id", "text", "y"), run, f"id {kind}, y int, words array<string>, n array<long>").collect()  # 2 * EXAMPLES rows at most, but for repeated ids
+    first: dict = {}
+    for r in sorted(rows, key=lambda r: (r["id"], r["words"], r["n"])):
+        if r["id"] not in first:
+            c = dict(zip(r["words"], r["n"], strict=True))
+            first[r["id"]] = (r["id"], r["y"], c | {w + TWICE: n - 1 for w, n in c.items() if n > 1})
+    return list(first.values())
 
 
 class Terms:
-    """Texts to term numbers: one automaton finds all terms in a text whose words have their ends marked."""
+    """Texts to term numbers."""
 
     def __init__(self, vocabulary: list[str]):
-        at = {t: i for i, t in enumerate(vocabulary)}
-        self.twice = np.array([at.get(t + TWICE, -1) for t in vocabulary], np.int64)
-        self.find = ahocorasick.Automaton()
-        for t, i in at.items():
-            if not t.endswith(TWICE):
-                self.find.add_word(t, i)
-        self.find.make_automaton()
+        self.at = {t: i for i, t in enumerate(vocabulary)}
+        self.twice = np.array([self.at.get(t + TWICE, -1) for t in vocabulary], np.int64)
 
     def counts(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of the terms in a text, and in how many places each is."""
-        words = words_of(text)
-        found = [i for _, i in self.find.iter(f"^{'$ ^'.join(words)}$")] if words and len(self.find) else []
+        get = self.at.get
+        found = [(i, n) for w, n in terms_of(text).items() if (i := get(w)) is not None]
         if not found:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        t, n = np.unique(np.array(found, np.int64), return_counts=True)
+        t, n = np.array(found, np.int64).T
         again = (n > 1) & (self.twice[t] >= 0)
         return np.r_[t, self.twice[t[again]]], np.r_[n, n[again] - 1]
 
 
-_TERMS: dict[tuple, Terms] = {}
+_TERMS: dict[bytes, Terms] = {}
+
+
+def key_of(vocabulary: list[str]) -> bytes:
+    return hashlib.sha256("\n".join(vocabulary).encode()).digest()
 
 
-def terms(vocabulary: list[str]) -> Terms:
-    k = tuple(vocabulary)
-    if k not in _TERMS:
+def terms(key: bytes, vocabulary: list[str]) -> Terms:
+    """The Terms of the vocabulary with this key_of, one at a time a process."""
+    if key not in _TERMS:
         _TERMS.clear()
-        _TERMS[k] = Terms(vocabulary)
-    return _TERMS[k]
+        _TERMS[key] = Terms(vocabulary)
+    return _TERMS[key]
 
 
 def document_frequencies(docs: DataFrame, vocabulary: list[str], text_col: str) -> tuple[int, np.ndarray]:
     """The number of documents and how many hold each term: over all rows, summed in the tasks first."""
+    key = key_of(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t, n, total = terms(vocabulary), np.zeros(len(vocabulary), np.int64), 0
+        t, n, total = terms(key, vocabulary), np.zeros(len(vocabulary), np.int64), 0
         for b in batches:
             for text in b.column(0).to_pylist():
                 total += 1
                 n[t.counts(text or "")[0]] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(n))), pa.array(np.r_[total, n])], ["term", "n"])
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, some]), pa.array(np.r_[total, n[some]])], ["term", "n"])
 
     out, total = np.zeros(len(vocabulary), np.int64), 0
     for r in base.map_arrow(docs.select(F.col(text_col).alias("text")), run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():  # one row a term
@@ -142,80 +138,111 @@ def document_frequencies(docs: DataFrame, vocabulary: list[str], text_col: str)
     return total, out
 
 
+def _ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The places start[i], ..., start[i] + n[i] - 1 of all i."""
+    return np.repeat(start - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum()) if len(n) else np.zeros(0, np.int64)
+
+
 class Index:
-    """Block-max inverted index over unit vectors."""
+    """Block-max inverted index over unit vectors (term numbers under `size`, weights)."""
 
     def __init__(self, size: int, vectors: list[tuple[np.ndarray, np.ndarray]], ids: list, y: np.ndarray):
-        lead = [(int(t[np.argmax(w[:-1])]), -float(w[:-1].max())) if len(t) > 1 else (size, 0.0) for t, w in vectors]  # by the heaviest term but the background
+        lead = [(int(t[np.argmax(w)]), -float(w.max())) if len(t) else (size, 0.0) for t, w in vectors]  # by the heaviest term
         order = sorted(range(len(vectors)), key=lambda i: (lead[i], i))
         self.ids, self.y = [ids[i] for i in order], y[order]
         self.blocks = max(1, -(-len(order) // BLOCK))
         term = np.concatenate([vectors[i][0] for i in order] or [np.zeros(0, np.int64)])
         weight = np.concatenate([vectors[i][1] for i in order] or [np.zeros(0)])
         row = np.repeat(np.arange(len(order)), [len(vectors[i][0]) for i in order])
-        cell = term * self.blocks + row // BLOCK
-        by = np.lexsort((row, cell))
-        self.row, self.weight = row[by], weight[by]
-        self.start = np.searchsorted(cell[by], np.arange(size * self.blocks + 1))
-        self.most = np.zeros(size * self.blocks)
-        np.maximum.at(self.most, cell, weight)
-        self.most = self.most.reshape(size, self.blocks)
-
-    def search(self, t: np.ndarray, w: np.ndarray, k: int = K, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and cosines of the k nearest with a cosine over 0, nearest first."""
-        bound = w @ self.most[t]
+        by = np.lexsort((row, term))
+        term, self.row, self.weight = term[by], row[by], weight[by]
+        # a cell is a term's postings in a block
+        cell = term * self.blocks + self.row // BLOCK
+        first = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]) if len(cell) else np.zeros(0, np.int64)
+        self.start, self.count = first, np.diff(np.r_[first, len(cell)])
+        self.block = self.row[first] // BLOCK
+        self.most = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0)
+        self.cells = np.searchsorted(term[first], np.arange(size + 1))
+        self.top = np.zeros(size)
+        np.maximum.at(self.top, term, self.weight)
+        # the vectors themselves, for the exact scores of candidates
+        self.size = np.array([len(vectors[i][0]) for i in order], np.int64)
+        self.begin = np.r_[0, np.cumsum(self.size)[:-1]] if len(order) else np.zeros(0, np.int64)
+        self.term_of, self.weight_of = np.concatenate([vectors[i][0] for i in order] or [np.zeros(0, np.int64)]), np.concatenate([vectors[i][1] for i in order] or [np.zeros(0)])
+        self.query = np.zeros(size)
+
+    def search(self, t: np.ndarray, w: np.ndarray, k: int = K, without: int = -1, light: float = LIGHT) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and cosines of the k nearest with a cosine over 0, nearest first.
+
+        Terms that together can add no more than `light` wait: the others find candidates, whose cosines are then taken in full."""
+        most = w * self.top[t]
+        by = np.argsort(most, kind="stable")
+        rising = np.cumsum(most[by])
+        cut = int(np.searchsorted(rising, light, side="right"))
+        rest = float(rising[cut - 1]) if cut else 0.0
+        heavy = by[cut:]
+        n = self.cells[t[heavy] + 1] - self.cells[t[heavy]]
+        cell = _ranges(self.cells[t[heavy]], n)
+        each, block = np.repeat(w[heavy], n), self.block[cell]
+        bound = np.bincount(block, each * self.most[cell], self.blocks)
         order = np.argsort(-bound, kind="stable")
         rows, scores, worst, at = np.zeros(0, np.int64), np.zeros(0), 0.0, 0
-        while at < len(order) and bound[order[at]] > 0 and bound[order[at]] >= worst - 1e-9:
-            wave = order[at : at + WAVE]
-            wave = wave[bound[wave] > 0]
+        while at < len(order) and bound[order[at]] > 0 and bound[order[at]] + rest >= worst - 1e-9:
+            wave = np.zeros(self.blocks, bool)
+            wave[order[at : at + WAVE]] = True
             at += WAVE
-            cell = (t[:, None] * self.blocks + wave[None, :]).ravel()
-            start, n = self.start[cell], self.start[cell + 1] - self.start[cell]
-            at_posting = np.repeat(start - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-            got = np.bincount(self.row[at_posting], np.repeat(np.repeat(w, len(wave)), n) * self.weight[at_posting])
+            mine = np.flatnonzero(wave[block])
+            count = self.count[cell[mine]]
+            posting = _ranges(self.start[cell[mine]], count)
+            got = np.bincount(self.row[posting], np.repeat(each[mine], count) * self.weight[posting])
             hit = np.flatnonzero(got)
             hit = hit[hit != without]
             rows, scores = np.r_[rows, hit], np.r_[scores, got[hit]]
-            keep = np.lexsort((rows, -np.round(scores, 9)))[:k]
-            rows, scores = rows[keep], scores[keep]
-            worst = scores[-1] if len(rows) == k else 0.0
-        return rows, scores
+            if len(rows) >= k:
+                worst = np.partition(scores, len(scores) - k)[len(scores) - k]
+                keep = scores + rest >= worst - 1e-9
+                rows, scores = rows[keep], scores[keep]
+        if cut:
+            if len(rows) < k:  # light terms alone may make a neighbour
+                return self.search(t, w, k, without, 0.0)
+            self.query[t] = w
+            n = self.size[rows]
+            at_term = _ranges(self.begin[rows], n)
+            scores = np.bincount(np.repeat(np.arange(len(rows)), n), self.query[self.term_of[at_term]] * self.weight_of[at_term], len(rows))
+            self.query[t] = 0
+        keep = np.lexsort((rows, -np.round(scores, 9)))[:k]
+        return rows[keep], scores[keep]
 
 
 class Model:
-    def __init__(self, vocabulary: list[str], total: int, df: np.ndarray):
-        self.vocabulary, self.idf = vocabulary, 1 + np.log((total + 1) / (df + 1))
+    def __init__(self, vocabulary: list[str], total: int, df: np.ndarray, relevance: np.ndarray):
+        self.key, self.vocabulary, self.weight = key_of(vocabulary), vocabulary, (1 + np.log((total + 1) / (df + 1))) * np.maximum(relevance, LEAST)
         self.index, self.prior, self.flat, self.slope, self.shift = None, 0.0, 0.0, 1.0, 0.0
-        self.known: dict[bytes, tuple[float, list[dict]]] = {}
-
-    def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        return self.weighted(*terms(self.vocabulary).counts(text))
 
     def weighted(self, t: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        t, w = np.r_[t, len(self.vocabulary)], np.r_[(1 + np.log(n)) * self.idf[t], BACKGROUND]
-        return t, w / np.sqrt(w @ w)
+        w = (1 + np.log(n)) * self.weight[t]
+        return t, w / max(np.sqrt(w @ w), 1e-300)
 
     def fit(self, rows: list[tuple], share: float) -> None:
         """rows: id, terms, weights, y. share: of label 1 among all labelled rows."""
         y = np.array([r[3] for r in rows], np.float64)
-        self.index = Index(len(self.vocabulary) + 1, [(r[1], r[2]) for r in rows], [r[0] for r in rows], y)
-        ones = max(y.mean(), 1e-9)
+        self.index = Index(len(self.vocabulary), [(r[1], r[2]) for r in rows], [r[0] for r in rows], y)
+        ones = min(max(y.mean(), 1e-9), 1 - 1e-9)
         self.prior = ones
         by_id = {r[0]: r for r in rows}
         vote, weight, label = [], [], []
         empty = np.zeros(2)
-        of = np.array([(1 - share) / max(1 - ones, 1e-9), share / ones])
+        of = np.array([(1 - share) / (1 - ones), share / ones])
         for i, k in enumerate(self.index.ids):
             _, t, w, label_i = by_id[k]
-            if len(t) > 1:
+            if len(t):
                 vote.append(self.vote(*self.index.search(t, w, without=i)))
                 label.append(label_i)
                 weight.append(of[label_i])
             else:
                 empty[label_i] += of[label_i]
-        self.flat = (empty[1] + share * SMOOTH) / (empty.sum() + SMOOTH) if len(rows) else share
-        if vote:
+        self.flat = (empty[1] + share * SMOOTH) / (empty.sum() + SMOOTH)
+        if len(set(label)) == 2:
             self.slope, self.shift = logistic(logit(np.array(vote)), np.array(label), np.array(weight))
 
     def vote(self, rows: np.ndarray, cosines: np.ndarray) -> float:
@@ -224,20 +251,11 @@ class Model:
 
     def score(self, text: str) -> tuple[float, list[dict]]:
         if self.index is None:
-            return 0.0, []
-        t, n = terms(self.vocabulary).counts(text)
+            return self.flat, []
+        t, n = terms(self.key, self.vocabulary).counts(text)
         if not len(t):
             return float(self.flat), []
-        key = t.tobytes() + n.tobytes()  # texts with the same counts have the same vector
-        if key not in self.known:
-            if len(self.known) >= 20_000:
-                self.known.clear()
-            self.known[key] = self._score(t, n)
-        return self.known[key]
-
-    def _score(self, t: np.ndarray, n: np.ndarray) -> tuple[float, list[dict]]:
-        t, w = self.weighted(t, n)
-        rows, cosines = self.index.search(t, w)
+        rows, cosines = self.index.search(*self.weighted(t, n))
         p = 1 / (1 + np.exp(-(self.slope * logit(np.array([self.vote(rows, cosines)]))[0] + self.shift)))
         return float(p), [{"id": self.index.ids[r], "cosine": float(c), "label": int(self.index.y[r])} for r, c in zip(rows, cosines, strict=True)]
 
@@ -262,23 +280,31 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, f
     return float(max(a[0], 0.0)), float(a[1])
 
 
+def chi_square(rows: list[tuple], at: dict[str, int]) -> np.ndarray:
+    """Of each term, how much its presence in the examples (id, y, counts) depends on the label, with Yates's correction for small counts."""
+    have = np.zeros((2, len(at)))
+    for _, y, c in rows:
+        have[y, [at[t] for t in c]] += 1
+    n1 = sum(y for _, y, _ in rows)
+    n0, (b, a) = len(rows) - n1, have
+    return len(rows) * np.maximum(np.abs(a * n0 - b * n1) - len(rows) / 2, 0) ** 2 / (max(n1 * n0, 1) * (a + b) * np.maximum(len(rows) - a - b, 1))
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """labels: id and label of the rows that may be learned from."""
     examples = sample(docs, labels, id_col, text_col, label_col)
-    words = vocabulary(examples)
-    model = Model(words, *document_frequencies(docs, words, text_col))
-    kind = examples.schema["id"].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            got = [model.vector(x) for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([t for t, _ in got], pa.list_(pa.int64())), pa.array([w for _, w in got], pa.list_(pa.float64())), b.column(2)], ["id", "t", "w", "y"])
-
-    rows = base.map_arrow(examples.select("id", "text", "y"), run, f"id {kind}, t array<long>, w array<double>, y int").collect()  # 2 * EXAMPLES rows of VOCABULARY terms at most
-    first = {r["id"]: (r["id"], np.array(r["t"], np.int64), np.array(r["w"]), r["y"]) for r in sorted(rows, key=lambda r: (r["id"], r["t"]))}
-    if first:
-        share = labels.where(F.col(label_col).isin(0, 1)).agg(F.avg(label_col)).first()[0] or 0.0
-        model.fit([first[k] for k in sorted(first)], float(share))
+    rows = counted(examples)
+    base.drop(examples)
+    share = float(labels.where(F.col(label_col).isin(0, 1)).agg(F.avg(label_col)).first()[0] or 0.0)
+    if len({y for _, y, _ in rows}) < 2:
+        model = Model([], 0, np.zeros(0), np.zeros(0))
+        model.flat = share
+        return model
+    vocabulary = sorted(set().union(*(c for _, _, c in rows)))
+    at = {t: i for i, t in enumerate(vocabulary)}
+    model = Model(vocabulary, *document_frequencies(docs, vocabulary, text_col), chi_square(rows, at))
+    vector = lambda c: model.weighted(np.array([at[t] for t in c], np.int64), np.array(list(c.values()), np.float64))
+    model.fit([(i, *vector(c), y) for i, y, c in rows], share)
     return model
 
 

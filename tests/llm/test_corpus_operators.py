@@ -169,8 +169,39 @@ def test_block_max_search_is_exact():
     for t, w in vectors[:100]:
         scores = dense[:, t] @ w
         want = [k for k in np.lexsort((np.arange(500), -np.round(scores, 9))) if scores[k] > 0][:16]
-        rows, cosines = index.search(t, w)
-        assert rows.tolist() == want and np.allclose(cosines, scores[want])
+        for light in (0.0, 0.02, 0.3):
+            rows, cosines = index.search(t, w, light=light)
+            assert rows.tolist() == want and np.allclose(cosines, scores[want])
+
+
+def test_toxicity_vectors_hold_every_term(spark):
+    """The cosines of the evidence are those of plain TF-IDF vectors over all terms."""
+    texts = {i: t for i, t in enumerate(["you bad bad fool", "a kind word", "bad fools again", "kind people here", "quite a word", "the fool is here", "people word"])}
+    labels = {0: 1, 1: 0, 2: 1, 3: 0, 5: 1}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame(list(labels.items()), "doc_id long, toxic int"))
+
+    def terms(text):
+        w = collections.Counter(text.split())
+        w += collections.Counter({k[:5] + "~": n for k, n in w.items() if len(k) > 5})
+        return w | collections.Counter({k + "2": n - 1 for k, n in w.items() if n > 1})
+
+    every = {i: terms(t) for i, t in texts.items()}
+    known = set().union(*(every[i] for i in labels))
+
+    def weight(k):
+        df = sum(k in c for c in every.values())
+        a, b = sum(k in every[i] for i in labels if labels[i]), sum(k in every[i] for i in labels if not labels[i])
+        chi = 5 * max(abs(a * 2 - b * 3) - 2.5, 0) ** 2 / (6 * (a + b) * max(5 - a - b, 1))
+        return (1 + np.log(8 / (df + 1))) * max(chi, 0.01)
+
+    vector = {i: {k: (1 + np.log(n)) * weight(k) for k, n in c.items() if k in known} for i, c in every.items()}
+    norm = {i: np.sqrt(sum(x * x for x in v.values())) for i, v in vector.items()}
+    for r in toxicity.score(docs, model).collect():
+        i = r["doc_id"]
+        got = {e["id"]: e["cosine"] for e in r["evidence"]}
+        want = {j: sum(x * vector[j].get(k, 0) for k, x in vector[i].items()) / norm[i] / norm[j] for j in labels}
+        assert got == pytest.approx({j: c for j, c in want.items() if c > 0})
 
 
 def test_toxicity_on_held_out_rows(spark):
