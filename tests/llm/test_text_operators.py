@@ -207,19 +207,55 @@ def test_codec_of_models_with_a_map(spark, rule, kind, fallback):
 # --- packing
 
 
-@pytest.mark.parametrize("capacity", [10, 64])
-def test_sweep_is_best_fit_decreasing(capacity):
-    r = random.Random(capacity)
-    for _ in range(150):
-        sizes = [r.randint(1, capacity) for _ in range(r.randint(1, 300))]
-        made, used = packing.sweep(dict(collections.Counter(sizes)), capacity)
-        gaps = []
-        for s in sorted(sizes, reverse=True):
-            fit = [g for g in gaps if g >= s]
-            if fit:
-                gaps.remove(min(fit))
-            gaps.append((min(fit) if fit else capacity) - s)
-        assert used == len(gaps)
+def best_fit_decreasing(sizes, capacity):
+    gaps = []
+    for s in sorted(sizes, reverse=True):
+        fit = [g for g in gaps if g >= s]
+        if fit:
+            gaps.remove(min(fit))
+        gaps.append((min(fit) if fit else capacity) - s)
+    return len(gaps)
+
+
+def test_sweeps_of_ranges_are_one_sweep():
+    """However the order is cut into ranges, every piece takes the last free gap before it."""
+    r = random.Random(8)
+    for _ in range(200):
+        gap = np.array([r.random() < 0.5 for _ in range(r.randint(1, 60))])
+        want, free = {}, []
+        for i, g in enumerate(gap):
+            if g:
+                free.append(i)
+            elif free:
+                want[i] = free.pop()
+        assert dict(zip(*(x.tolist() for x in packing.sweep(gap)), strict=True)) == want
+        cuts = [0, *sorted(r.randrange(len(gap) + 1) for _ in range(4)), len(gap)]
+        got, left, rows = {}, {}, {}
+        for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+            pieces, gaps = packing.sweep(gap[a:b])
+            got |= dict(zip((pieces + a).tolist(), (gaps + a).tolist(), strict=True))
+            over = [i for i in range(a, b) if i - a not in {*pieces.tolist(), *gaps.tolist()}]
+            rows[k] = [i for i in over if not gap[i]], [i for i in over if gap[i]]
+            left[k] = tuple(map(len, rows[k]))
+        for k, at, n, of, top in packing.meet(left):
+            got |= {rows[k][0][at + i]: rows[of][1][top - i] for i in range(n)}
+        assert got == want
+
+
+@pytest.mark.parametrize("events", [9, 250_000])
+@pytest.mark.parametrize("capacity,longest", [(64, 64), (64, 20), (10, 10)])
+def test_best_fit_in_supersteps(spark, monkeypatch, events, capacity, longest):
+    monkeypatch.setattr(packing, "EVENTS", events)
+    monkeypatch.setattr(packing, "LAST", 4)
+    r = random.Random(capacity + longest)
+    sizes = [r.randint(1, longest) for _ in range(150)]
+    got = packing.best_fit(packing.base.store(spark.createDataFrame(list(enumerate(sizes)), "pid long, length long"), "sizes"), capacity).collect()
+    assert sorted(x["pid"] for x in got) == list(range(len(sizes))) and len({(x["bin"], x["step"], x["slot"]) for x in got}) == len(sizes)
+    filled = collections.Counter()
+    for x in got:
+        filled[x["bin"]] += sizes[x["pid"]]
+    assert max(filled.values()) <= capacity
+    assert len(filled) <= best_fit_decreasing(sizes, capacity) + 1
 
 
 def test_packing(spark, odd):
