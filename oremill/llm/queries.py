@@ -57,8 +57,8 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = base.read(spark, sf_dir, "documents")
-    return quality.score(docs, quality.fit(docs, base.read(spark, sf_dir, "labels")))
+    viewed = quality.views(base.read(spark, sf_dir, "documents"), ["doc_id"])
+    return quality.score(viewed, quality.fit(viewed, base.read(spark, sf_dir, "labels")))
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
