@@ -14,7 +14,7 @@ from oremill.llm import base, exact_dedup, minhash, packing, quality, queries, t
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the co-trained classifier finds good (a chance of 0.5 or more)."""
-    return quality.keep_good(docs, quality.fit(docs, base.read(spark, sf_dir, "labels")), at=0.5)
+    return quality.keep_good(docs, base.read(spark, sf_dir, "labels"), at=0.5)
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
