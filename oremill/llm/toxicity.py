@@ -4,8 +4,8 @@
    whole). Terms are all words of all examples, the stems (first STEM characters) of longer ones, and for each of both a second
    term that stands for its occurring twice or more.
 2. Document frequencies of all terms are counted over all documents. A text's vector has
-   (1 + ln tf) * (1 + ln((N + 1) / (df + 1))) * relevance by term, and length one. Relevance is the chi-square of
-   the term's presence and the label over the examples, and at least LEAST: no term is left out.
+   (1 + ln tf) * (1 + ln((N + 1) / (df + 1))) * relevance by term, and length one. Relevance is the square of the chi-square of
+   the term's presence and the label over the examples, that at least LEAST: no term is left out.
 3. Index: examples in blocks of BLOCK, ordered so that like ones lie together; for each term and block a posting
    list and the largest weight in it. A query sums the largest weights to a bound on every block's scores, scores
    blocks exactly in the order of their bounds, a few at a time, and stops when no bound exceeds the K-th best
@@ -26,16 +26,19 @@ import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import base
 
-EXAMPLES, LEAST, BLOCK, K, WAVE, SMOOTH, LIGHT = 2000, 0.01, 64, 16, 16, 0.25, 0.02
+EXAMPLES, LEAST, BLOCK, K, WAVE, SMOOTH, LIGHT, TOGETHER = 2000, 0.01, 64, 16, 16, 0.25, 0.02, 16
+#: TOGETHER: texts that are searched by the same array operations.
 #: Characters of a stem, and what ends the names of stems and of terms that stand for another's second occurrence.
 STEM, STEMMED, TWICE = 5, "\1", "\0"
 _WORD = re.compile(r"\w+")
@@ -46,57 +49,59 @@ def words_of(text: str) -> list[str]:
 
 
 def terms_of(text: str) -> Counter:
-    """A text's words and stems, with their counts."""
-    out = Counter(words_of(text))
-    for w, n in list(out.items()):
-        if len(w) > STEM:
-            out[w[:STEM] + STEMMED] += n
+    """A text's terms, with their counts."""
+    words = words_of(text)
+    out = Counter(words + [w[:STEM] + STEMMED for w in words if len(w) > STEM])
+    out.update({t + TWICE: n - 1 for t, n in out.items() if n > 1})
     return out
 
 
 def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> DataFrame:
-    """id, text, y of the examples, stored."""
+    """id, y, text of the examples, stored; the least text of an id that has several."""
     given = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("y"))
     ids = None
     for y in (0, 1):
         part = given.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(EXAMPLES)
         ids = part if ids is None else ids.unionByName(part)
     own = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return base.store(own.join(F.broadcast(base.store(ids, "example-ids")), "id"), "examples")  # 2 * EXAMPLES ids at most
+    return base.store(own.join(F.broadcast(base.store(ids, "example-ids")), "id").groupBy("id", "y").agg(F.min("text").alias("text")), "examples")  # 2 * EXAMPLES ids at most
 
 
-def counted(examples: DataFrame) -> list[tuple]:
-    """id, y, terms and their counts of each example (the first text of an id that has several), by id."""
+def counted(examples: DataFrame) -> tuple[list[str], list[tuple]]:
+    """The terms of all examples, and of each example by id: id, y, its terms' numbers and counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [terms_of(x) for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([list(c) for c in got], pa.list_(pa.string())), pa.array([list(c.values()) for c in got], pa.list_(pa.int64()))], ["id", "y", "words", "n"])
+            got = [terms_of(x) for x in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([list(c) for c in got], pa.list_(pa.string())), pa.array([list(c.values()) for c in got], pa.list_(pa.int64()))], ["id", "y", "terms", "n"])
 
     kind = examples.schema["id"].dataType.simpleString()
-    rows = base.map_arrow(examples.select("id", "text", "y"), run, f"id {kind}, y int, words array<string>, n array<long>").collect()  # 2 * EXAMPLES rows at most, but for repeated ids
-    first: dict = {}
-    for r in sorted(rows, key=lambda r: (r["id"], r["words"], r["n"])):
-        if r["id"] not in first:
-            c = dict(zip(r["words"], r["n"], strict=True))
-            first[r["id"]] = (r["id"], r["y"], c | {w + TWICE: n - 1 for w, n in c.items() if n > 1})
-    return list(first.values())
+    table = base.map_arrow(examples.select("id", "y", "text"), run, f"id {kind}, y int, terms array<string>, n array<long>").toArrow()  # 2 * EXAMPLES rows at most
+    at: dict[str, int] = {}
+    rows = []
+    for i in pc.sort_indices(table["id"]).to_pylist():
+        numbers = np.array([at.setdefault(t, len(at)) for t in table["terms"][i].as_py()], np.int64)
+        rows.append((table["id"][i].as_py(), table["y"][i].as_py(), numbers, np.array(table["n"][i].as_py(), np.int64)))
+    return list(at), rows
 
 
 class Terms:
     """Texts to term numbers."""
 
     def __init__(self, vocabulary: list[str]):
-        self.at = {t: i for i, t in enumerate(vocabulary)}
-        self.twice = np.array([self.at.get(t + TWICE, -1) for t in vocabulary], np.int64)
+        at = {t: i for i, t in enumerate(vocabulary)}
+        self.word = {t: i for t, i in at.items() if t[-1] not in (STEMMED, TWICE)}
+        self.stem = {t[:-1]: i for t, i in at.items() if t[-1] == STEMMED}
+        self.twice = np.array([at.get(t + TWICE, -1) for t in vocabulary], np.int64)
 
     def counts(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of the terms in a text, and in how many places each is."""
-        get = self.at.get
-        found = [(i, n) for w, n in terms_of(text).items() if (i := get(w)) is not None]
-        if not found:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        t, n = np.array(found, np.int64).T
+        c = Counter(words_of(text))
+        words, n = list(c), np.fromiter(c.values(), np.int64, len(c))
+        w = np.fromiter(map(self.word.get, words, repeat(-1)), np.int64, len(words))
+        s = np.fromiter(map(self.stem.get, [x[:STEM] if len(x) > STEM else None for x in words], repeat(-1)), np.int64, len(words))
+        stems, of = np.unique(s[s >= 0], return_inverse=True)
+        t, n = np.r_[w[w >= 0], stems], np.r_[n[w >= 0], np.bincount(of, n[s >= 0], len(stems)).astype(np.int64)]
         again = (n > 1) & (self.twice[t] >= 0)
         return np.r_[t, self.twice[t[again]]], np.r_[n, n[again] - 1]
 
@@ -129,13 +134,11 @@ def document_frequencies(docs: DataFrame, vocabulary: list[str], text_col: str)
         some = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, some]), pa.array(np.r_[total, n[some]])], ["term", "n"])
 
-    out, total = np.zeros(len(vocabulary), np.int64), 0
-    for r in base.map_arrow(docs.select(F.col(text_col).alias("text")), run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():  # one row a term
-        if r["term"] < 0:
-            total = r["n"]
-        else:
-            out[r["term"]] = r["n"]
-    return total, out
+    table = base.map_arrow(docs.select(F.col(text_col).alias("text")), run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # one row a term
+    term, n = (table[c].to_numpy().astype(np.int64) for c in ("term", "n"))
+    out = np.zeros(len(vocabulary), np.int64)
+    out[term[term >= 0]] = n[term >= 0]
+    return int(n[term < 0].sum()), out
 
 
 def _ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -172,51 +175,70 @@ class Index:
         self.query = np.zeros(size)
 
     def search(self, t: np.ndarray, w: np.ndarray, k: int = K, without: int = -1, light: float = LIGHT) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and cosines of the k nearest with a cosine over 0, nearest first.
-
-        Terms that together can add no more than `light` wait: the others find candidates, whose cosines are then taken in full."""
-        most = w * self.top[t]
-        by = np.argsort(most, kind="stable")
-        rising = np.cumsum(most[by])
-        cut = int(np.searchsorted(rising, light, side="right"))
-        rest = float(rising[cut - 1]) if cut else 0.0
-        heavy = by[cut:]
-        n = self.cells[t[heavy] + 1] - self.cells[t[heavy]]
-        cell = _ranges(self.cells[t[heavy]], n)
-        each, block = np.repeat(w[heavy], n), self.block[cell]
-        bound = np.bincount(block, each * self.most[cell], self.blocks)
-        order = np.argsort(-bound, kind="stable")
-        rows, scores, worst, at = np.zeros(0, np.int64), np.zeros(0), 0.0, 0
-        while at < len(order) and bound[order[at]] > 0 and bound[order[at]] + rest >= worst - 1e-9:
-            wave = np.zeros(self.blocks, bool)
-            wave[order[at : at + WAVE]] = True
-            at += WAVE
-            mine = np.flatnonzero(wave[block])
+        """Rows and cosines of the k nearest with a cosine over 0, nearest first."""
+        return self.search_all([(t, w)], k, [without], light)[0]
+
+    def search_all(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int = K, without: list[int] | None = None, light: float = LIGHT) -> list[tuple[np.ndarray, np.ndarray]]:
+        """search() of many queries at once.
+
+        Terms of a query that together can add no more than `light` wait (`rest`): the others find candidates, whose cosines are then
+        taken in full. Of the blocks, the WAVE of highest bounds are scored first, then all those whose bounds reach the k-th best."""
+        m, all_rows = len(queries), len(self.ids)
+        rest, parts = np.zeros(m), []
+        for q, (t, w) in enumerate(queries):
+            most = w * self.top[t]
+            by = np.argsort(most)
+            rising = np.cumsum(most[by])
+            cut = int(np.searchsorted(rising, light, side="right"))
+            rest[q] = rising[cut - 1] if cut else 0.0
+            parts.append(by[cut:])
+        t, w = np.concatenate([t[p] for (t, _), p in zip(queries, parts, strict=True)]), np.concatenate([w[p] for (_, w), p in zip(queries, parts, strict=True)])
+        n = self.cells[t + 1] - self.cells[t]
+        cell, each = _ranges(self.cells[t], n), np.repeat(w, n)
+        at = np.repeat(np.repeat(np.arange(m), [len(p) for p in parts]), n)
+        place = at * self.blocks + self.block[cell]
+        bound = np.bincount(place, each * self.most[cell], m * self.blocks).reshape(m, self.blocks)
+        first = np.zeros((m, self.blocks), bool)
+        np.put_along_axis(first, np.argpartition(-bound, min(WAVE, self.blocks) - 1, axis=1)[:, :WAVE], True, axis=1)
+        score, worst = np.zeros(m * all_rows), np.zeros(m)
+
+        def add(chosen: np.ndarray) -> None:
+            mine = np.flatnonzero(chosen.ravel()[place])
             count = self.count[cell[mine]]
             posting = _ranges(self.start[cell[mine]], count)
-            got = np.bincount(self.row[posting], np.repeat(each[mine], count) * self.weight[posting])
-            hit = np.flatnonzero(got)
-            hit = hit[hit != without]
-            rows, scores = np.r_[rows, hit], np.r_[scores, got[hit]]
-            if len(rows) >= k:
-                worst = np.partition(scores, len(scores) - k)[len(scores) - k]
-                keep = scores + rest >= worst - 1e-9
-                rows, scores = rows[keep], scores[keep]
-        if cut:
-            if len(rows) < k:  # light terms alone may make a neighbour
-                return self.search(t, w, k, without, 0.0)
-            self.query[t] = w
-            n = self.size[rows]
-            at_term = _ranges(self.begin[rows], n)
-            scores = np.bincount(np.repeat(np.arange(len(rows)), n), self.query[self.term_of[at_term]] * self.weight_of[at_term], len(rows))
-            self.query[t] = 0
-        keep = np.lexsort((rows, -np.round(scores, 9)))[:k]
-        return rows[keep], scores[keep]
+            score[:] += np.bincount(np.repeat(at[mine], count) * all_rows + self.row[posting], np.repeat(each[mine], count) * self.weight[posting], m * all_rows)
+            table = score.reshape(m, all_rows)
+            if without is not None:
+                table[np.arange(m), without] = np.where(np.array(without) >= 0, 0, table[np.arange(m), without])
+            if k < all_rows:
+                worst[:] = np.partition(table, all_rows - k, axis=1)[:, all_rows - k]
+
+        add(first)
+        more = ~first & (bound > 0) & (bound + rest[:, None] >= worst[:, None] - 1e-9)
+        if more.any():
+            add(more)
+        out = []
+        for q, (t, w) in enumerate(queries):
+            own = score[q * all_rows : (q + 1) * all_rows]
+            rows = np.flatnonzero((own > 0) & (own + rest[q] >= worst[q] - 1e-9))
+            scores = own[rows]
+            if rest[q]:
+                if len(rows) < k:  # light terms alone may make a neighbour
+                    out.append(self.search(t, w, k, without[q] if without else -1, 0.0))
+                    continue
+                self.query[t] = w
+                n = self.size[rows]
+                at_term = _ranges(self.begin[rows], n)
+                scores = np.bincount(np.repeat(np.arange(len(rows)), n), self.query[self.term_of[at_term]] * self.weight_of[at_term], len(rows))
+                self.query[t] = 0
+            keep = np.lexsort((rows, -np.round(scores, 9)))[:k]
+            out.append((rows[keep], scores[keep]))
+        return out
 
 
 class Model:
     def __init__(self, vocabulary: list[str], total: int, df: np.ndarray, relevance: np.ndarray):
-        self.key, self.vocabulary, self.weight = key_of(vocabulary), vocabulary, (1 + np.log((total + 1) / (df + 1))) * np.maximum(relevance, LEAST)
+        self.key, self.vocabulary, self.weight = key_of(vocabulary), vocabulary, (1 + np.log((total + 1) / (df + 1))) * np.maximum(relevance, LEAST) ** 2
         self.index, self.prior, self.flat, self.slope, self.shift = None, 0.0, 0.0, 1.0, 0.0
 
     def weighted(self, t: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -233,14 +255,16 @@ class Model:
         vote, weight, label = [], [], []
         empty = np.zeros(2)
         of = np.array([(1 - share) / (1 - ones), share / ones])
-        for i, k in enumerate(self.index.ids):
-            _, t, w, label_i = by_id[k]
-            if len(t):
-                vote.append(self.vote(*self.index.search(t, w, without=i)))
-                label.append(label_i)
-                weight.append(of[label_i])
-            else:
-                empty[label_i] += of[label_i]
+        order = [i for i, k in enumerate(self.index.ids) if len(by_id[k][1])]
+        for at in range(0, len(order), TOGETHER):
+            some = order[at : at + TOGETHER]
+            for i, near in zip(some, self.index.search_all([by_id[self.index.ids[i]][1:3] for i in some], without=some), strict=True):
+                vote.append(self.vote(*near))
+                label.append(by_id[self.index.ids[i]][3])
+                weight.append(of[label[-1]])
+        for r in rows:
+            if not len(r[1]):
+                empty[r[3]] += of[r[3]]
         self.flat = (empty[1] + share * SMOOTH) / (empty.sum() + SMOOTH)
         if len(set(label)) == 2:
             self.slope, self.shift = logistic(logit(np.array(vote)), np.array(label), np.array(weight))
@@ -249,15 +273,22 @@ class Model:
         w = cosines**2
         return float((w @ self.index.y[rows] + SMOOTH * self.prior) / (w.sum() + SMOOTH))
 
-    def score(self, text: str) -> tuple[float, list[dict]]:
+    def scores(self, texts: list[str]) -> Iterator[tuple[float, list[dict]]]:
+        """Score and evidence of each text."""
         if self.index is None:
-            return self.flat, []
-        t, n = terms(self.key, self.vocabulary).counts(text)
-        if not len(t):
-            return float(self.flat), []
-        rows, cosines = self.index.search(*self.weighted(t, n))
-        p = 1 / (1 + np.exp(-(self.slope * logit(np.array([self.vote(rows, cosines)]))[0] + self.shift)))
-        return float(p), [{"id": self.index.ids[r], "cosine": float(c), "label": int(self.index.y[r])} for r, c in zip(rows, cosines, strict=True)]
+            yield from ((self.flat, []) for _ in texts)
+            return
+        own = terms(self.key, self.vocabulary)
+        for at in range(0, len(texts), TOGETHER):
+            found = [own.counts(x) for x in texts[at : at + TOGETHER]]
+            near = iter(self.index.search_all([self.weighted(t, n) for t, n in found if len(t)]) if any(len(t) for t, _ in found) else [])
+            for t, _ in found:
+                if not len(t):
+                    yield float(self.flat), []
+                    continue
+                rows, cosines = next(near)
+                p = 1 / (1 + np.exp(-(self.slope * logit(np.array([self.vote(rows, cosines)]))[0] + self.shift)))
+                yield float(p), [{"id": self.index.ids[r], "cosine": c, "label": int(self.index.y[r])} for r, c in zip(rows.tolist(), cosines.tolist(), strict=True)]
 
 
 def logit(p: np.ndarray) -> np.ndarray:
@@ -280,12 +311,12 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, f
     return float(max(a[0], 0.0)), float(a[1])
 
 
-def chi_square(rows: list[tuple], at: dict[str, int]) -> np.ndarray:
-    """Of each term, how much its presence in the examples (id, y, counts) depends on the label, with Yates's correction for small counts."""
-    have = np.zeros((2, len(at)))
-    for _, y, c in rows:
-        have[y, [at[t] for t in c]] += 1
-    n1 = sum(y for _, y, _ in rows)
+def chi_square(rows: list[tuple], size: int) -> np.ndarray:
+    """Of each term, how much its presence in the examples (id, y, terms, counts) depends on the label, with Yates's correction for small counts."""
+    have = np.zeros((2, size))
+    for _, y, t, _ in rows:
+        have[y, t] += 1
+    n1 = sum(r[1] for r in rows)
     n0, (b, a) = len(rows) - n1, have
     return len(rows) * np.maximum(np.abs(a * n0 - b * n1) - len(rows) / 2, 0) ** 2 / (max(n1 * n0, 1) * (a + b) * np.maximum(len(rows) - a - b, 1))
 
@@ -293,18 +324,15 @@ def chi_square(rows: list[tuple], at: dict[str, int]) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """labels: id and label of the rows that may be learned from."""
     examples = sample(docs, labels, id_col, text_col, label_col)
-    rows = counted(examples)
+    vocabulary, rows = counted(examples)
     base.drop(examples)
     share = float(labels.where(F.col(label_col).isin(0, 1)).agg(F.avg(label_col)).first()[0] or 0.0)
-    if len({y for _, y, _ in rows}) < 2:
+    if len({r[1] for r in rows}) < 2:
         model = Model([], 0, np.zeros(0), np.zeros(0))
         model.flat = share
         return model
-    vocabulary = sorted(set().union(*(c for _, _, c in rows)))
-    at = {t: i for i, t in enumerate(vocabulary)}
-    model = Model(vocabulary, *document_frequencies(docs, vocabulary, text_col), chi_square(rows, at))
-    vector = lambda c: model.weighted(np.array([at[t] for t in c], np.int64), np.array(list(c.values()), np.float64))
-    model.fit([(i, *vector(c), y) for i, y, c in rows], share)
+    model = Model(vocabulary, *document_frequencies(docs, vocabulary, text_col), chi_square(rows, len(vocabulary)))
+    model.fit([(i, *model.weighted(t, n), y) for i, y, t, n in rows], share)
     return model
 
 
@@ -314,7 +342,7 @@ def scored(model: Model, text: Column, id_type: str = "long") -> Column:
     @F.pandas_udf(f"score double, evidence array<struct<id: {id_type}, cosine: double, label: int>>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in batches:
-            got = [model.score(x or "") for x in s]
+            got = list(model.scores([x or "" for x in s]))
             yield pd.DataFrame({"score": [g[0] for g in got], "evidence": [g[1] for g in got]})
 
     return run(text)

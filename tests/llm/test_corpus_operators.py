@@ -193,7 +193,7 @@ def test_toxicity_vectors_hold_every_term(spark):
         df = sum(k in c for c in every.values())
         a, b = sum(k in every[i] for i in labels if labels[i]), sum(k in every[i] for i in labels if not labels[i])
         chi = 5 * max(abs(a * 2 - b * 3) - 2.5, 0) ** 2 / (6 * (a + b) * max(5 - a - b, 1))
-        return (1 + np.log(8 / (df + 1))) * max(chi, 0.01)
+        return (1 + np.log(8 / (df + 1))) * max(chi, 0.01) ** 2
 
     vector = {i: {k: (1 + np.log(n)) * weight(k) for k, n in c.items() if k in known} for i, c in every.items()}
     norm = {i: np.sqrt(sum(x * x for x in v.values())) for i, v in vector.items()}
