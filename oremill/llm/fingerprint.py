@@ -13,9 +13,8 @@
 5. Likeness: each filter of the shorter chain takes its best partner in the other: common bits, less those that
    chance explains, over those possible; the mean over the filters.
 
-Texts under SHORT bytes hold too few windows to choose from: all their SHORT_WINDOW-byte windows are features. Texts without
-features (shorter than that, or flat) are one feature: the whole text. Defined results: null text
-is empty; the empty text has no filter, is like another empty text (1) and unlike all else (0); extra columns are ignored.
+One rule holds for texts of all sizes; a text without features (shorter than a window, or flat) is one feature, the whole text. Defined results: null text
+is empty; the empty text has no filter, is like another empty text (1) and unlike all else (0); extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,6 +23,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,11 +31,10 @@ from pyspark.sql import functions as F
 from . import base
 from .minhash import mix
 
-WINDOW, RUN, LEVELS, LOW, HIGH, POINTS, PER_FILTER, BITS, SLACK = 64, 64, 1000, 100, 990, 16, 160, 2048, 0.3
+WINDOW, RUN, LEVELS, LOW, HIGH, POINTS, PER_FILTER, BITS, SLACK = 8, 16, 1000, 100, 990, 4, 160, 2048, 0.3
 SCALE = 1 << 20
-SHORT, SHORT_WINDOW = 256, 8
-#: Ranges of ids, at most, and cells in a range: their table is sent to all tasks.
-RANGES, CELLS = 16_384, 16
+#: Ranges of ids, at most: their bounds are sent to all tasks.
+RANGES = 16_384
 _C = np.arange(WINDOW + 2, dtype=np.float64)
 _CLOGC = np.round(SCALE * _C * np.log2(np.maximum(_C, 1))).astype(np.int64)
 _STEP = _CLOGC[1:] - _CLOGC[:-1]
@@ -47,7 +46,7 @@ def levels(x: np.ndarray) -> np.ndarray:
     n = len(x)
     if n < WINDOW:
         return np.zeros(0, np.int64)
-    before = np.zeros(n, np.uint8)  # equal bytes among the 63 before
+    before = np.zeros(n, np.uint8)  # equal bytes among those before in a window
     after = np.zeros(n, np.uint8)
     for d in range(1, WINDOW):
         same = x[d:] == x[:-d]
@@ -84,12 +83,11 @@ def digest(x: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, list[int]]:
     """The chain of filters (k x 256 bytes) and the features in each."""
     if not len(x):
         return np.zeros((0, BITS // 8), np.uint8), []
-    window = WINDOW if len(x) >= SHORT else SHORT_WINDOW
-    at = features(x, rank) if len(x) >= SHORT else np.arange(len(x) - window + 1)
+    at = features(x, rank)
     if len(at):
-        words = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(x, window)[at]).view(np.uint64)
+        words = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(x, WINDOW)[at]).view(np.uint64)
         h = np.zeros(len(at), np.uint64)
-        for i in range(window // 8):
+        for i in range(WINDOW // 8):
             h = mix(h ^ words[:, i])
         h = h[np.sort(np.unique(h, return_index=True)[1])]  # each feature once, in order
     else:
@@ -158,32 +156,38 @@ def fingerprint(docs: DataFrame, rank: np.ndarray, id_col: str = "doc_id", text_
 
 
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, int]:
-    """docs dealt into ranges of descending id: columns range, id, text, tail; a range's last rows (tail) are copies of the row
-    that begins the next one. Rows with equal ids are ordered by text; null ids come last. Also the number of ranges.
+    """docs dealt into ranges of descending id: columns range, id, text, hash, tail; a range's last rows (tail) are copies of the row
+    that begins the next one. Rows with equal ids are ordered by text; null ids come last, by the hash of their text. Also the number of ranges.
 
-    The span of ids is cut into equal cells, a bounded number of them; cells are counted, and put together to ranges of near
-    equal counts: twice as many as shuffle partitions, at most RANGES. A range is sorted with spilling and read as a stream, so
-    its size bounds no memory."""
+    Ranges begin at quantiles of the ids, so they are of near equal counts however the ids lie: twice as many as shuffle partitions, at most
+    RANGES. Null ids are cut into as many by ranges of the hash. A range is sorted with spilling and read as a stream, so its size bounds no memory."""
     spark = docs.sparkSession
-    own = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    base.prepare(spark)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    own = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.when(F.col(id_col).isNull(), F.xxhash64(text)).alias("hash"))
     ranges = min(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), RANGES)
-    low, high = own.agg(F.min("id"), F.max("id")).first()
-    width = (0 if low is None else high - low) // (CELLS * ranges) + 1
-    cell = F.coalesce(F.expr(f"({high or 0} - id) div {width}"), F.lit(1 << 62))
-    own = own.withColumn("cell", cell)
-    cells = sorted((r["cell"], r["n"], r["head"]) for r in own.groupBy("cell").agg(F.count("*").alias("n"), F.max("id").alias("head")).collect())  # CELLS * ranges rows at most, and one for nulls
-    total, before, rows, last = sum(n for _, n, _ in cells), 0, [], -1
-    for c, n, head in cells:
-        k = ranges if head is None else before * ranges // total
-        rows.append([c, k, head, last if k != last else None])  # a range's first cell knows the range before
-        before, last = before + n, k
-    if rows:
-        rows[0][3] = last  # the first row follows the last
-    table = spark.createDataFrame(rows, "cell long, range int, head long, before int")
-    placed = own.join(F.broadcast(table), "cell")
-    tail = F.when(F.col("id").eqNullSafe(F.col("head")), F.col("before"))
-    copies = F.filter(F.array(F.struct("range", F.lit(False).alias("tail")), F.struct(tail.alias("range"), F.lit(True).alias("tail"))), lambda c: c["range"].isNotNull())
-    return placed.select("id", "text", F.explode(copies).alias("c")).select("id", "text", "c.range", "c.tail"), ranges
+    cuts = F.percentile_approx("id", [k / ranges for k in range(1, ranges)], 20 * ranges)
+    total, known, high, bounds = own.agg(F.count("*"), F.count("id"), F.max("id"), cuts).first()
+    bounds = np.array(sorted({b for b in bounds or [] if b != high}), np.int64)  # range k begins at the k-th from the end; the first one at the highest id
+    nulls = -(-ranges * (total - known) // max(total, 1))
+    cell = F.floor((F.col("hash") / 2.0**64 + 0.5) * nulls).cast("int")
+    heads = {r["cell"]: r["head"] for r in own.where("id IS NULL").groupBy(cell.alias("cell")).agg(F.min("hash").alias("head")).collect()} if nulls else {}  # `nulls` rows
+    base_of = (len(bounds) + 1) if known else 0
+    order = [*range(base_of), *(base_of + c for c in sorted(heads))]
+    before = {k: order[i - 1] for i, k in enumerate(order)}  # the first row follows the last
+    head_of = {base_of + c: h for c, h in heads.items()}
+
+    @F.pandas_udf("range int, before int")
+    def placed(missing: pd.Series, ids: pd.Series, cells: pd.Series, hashes: pd.Series) -> pd.DataFrame:
+        at = np.where(missing, base_of + cells.to_numpy(), len(bounds) - np.searchsorted(bounds, ids.to_numpy(), side="left"))
+        begin = np.array([high if high is not None else 0, *bounds[::-1]], np.int64)
+        first = [h == head_of.get(k) if m else i == begin[k] for m, i, k, h in zip(missing, ids, at, hashes, strict=True)]
+        return pd.DataFrame({"range": at.astype(np.int32), "before": pd.array([before[int(k)] if f else None for k, f in zip(at, first, strict=True)], "Int32")})
+
+    zero = F.lit(0).cast("long")
+    own = own.withColumn("p", placed(F.col("id").isNull(), F.coalesce("id", zero), F.coalesce(cell, F.lit(0)), F.coalesce("hash", zero)))
+    copies = F.filter(F.array(F.struct(F.col("p.range").alias("range"), F.lit(False).alias("tail")), F.struct(F.col("p.before").alias("range"), F.lit(True).alias("tail"))), lambda c: c["range"].isNotNull())
+    return own.select("id", "text", "hash", F.explode(copies).alias("c")).select("id", "text", "hash", "c.range", "c.tail"), ranges + nulls
 
 
 def compare_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -193,7 +197,7 @@ def compare_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     the first follows the last). One shuffle of the texts, by range of ids; only the row that ends a range is read twice."""
     rank = rarity(docs, text_col)
     dealt, ranges = with_next(docs, id_col, text_col)
-    dealt = dealt.repartition(ranges, "range").sortWithinPartitions("range", "tail", F.desc_nulls_last("id"), "text")
+    dealt = dealt.repartitionByRange(ranges, "range").sortWithinPartitions("range", "tail", F.desc_nulls_last("id"), "hash", "text").drop("hash")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None  # (range, id, text, digest) that waits for its next

@@ -72,8 +72,8 @@ def lexical(df: DataFrame, url_col: str) -> DataFrame:
 
 
 def suffix_of(host: Column) -> Column:
-    """The last three labels of a host, or its last."""
-    return F.regexp_extract(host, "([^.]*\\.[^.]*\\.)?[^.]*$", 0)
+    """The last three labels of a host; all of them if it has fewer."""
+    return F.regexp_extract(host, "([^.]*\\.){0,2}[^.]*$", 0)
 
 
 def _score(trees: list[list], bias: float) -> Column:
@@ -108,7 +108,7 @@ def train(rows: DataFrame) -> Column:
     if not n or not ones or ones == n:
         return F.lit(-10.0 if not ones else 10.0)
     bias = math.log(ones / (n - ones))
-    cuts = rows.agg(*(F.percentile_approx(f, [k / BINS for k in range(1, BINS)], 10_000).alias(f) for f in FEATURES)).first().asDict()
+    cuts = rows.agg(*(F.percentile(f, [k / BINS for k in range(1, BINS)]).alias(f) for f in FEATURES)).first().asDict()  # exact, of SAMPLE rows
     cuts = {f: sorted(set(v)) for f, v in cuts.items()}
     # a row's bin of each feature: how many cuts lie below it
     bins = F.array(*(_bin(F.col(f), cuts[f]) for f in FEATURES))

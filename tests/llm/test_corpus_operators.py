@@ -111,9 +111,9 @@ def test_near_duplicates_odd(spark, odd, none):
 def test_entropy_levels():
     x = np.frombuffer(b"hello world, windows of entropy " * 9 + bytes(range(200)), np.uint8)
     for i, level in enumerate(fingerprint.levels(x)):
-        c = np.bincount(x[i : i + 64])
-        p = c[c > 0] / 64
-        assert abs(-(p * np.log2(p)).sum() / 6 * 1000 - level) <= 1
+        c = np.bincount(x[i : i + fingerprint.WINDOW])
+        p = c[c > 0] / fingerprint.WINDOW
+        assert abs(-(p * np.log2(p)).sum() / np.log2(fingerprint.WINDOW) * 1000 - level) <= 1
 
 
 def test_leftmost_least_ranks():
@@ -122,8 +122,9 @@ def test_leftmost_least_ranks():
     rank = r.permutation(fingerprint.LEVELS + 1)
     level = fingerprint.levels(x)
     rk = np.where((level < fingerprint.LOW) | (level > fingerprint.HIGH), fingerprint.LEVELS + 1, rank[level])
-    points = collections.Counter(i + int(np.argmin(rk[i : i + 64])) for i in range(len(rk) - 63))
-    want = [i for i, n in sorted(points.items()) if n >= 16 and rk[i] <= fingerprint.LEVELS]
+    run = fingerprint.RUN
+    points = collections.Counter(i + int(np.argmin(rk[i : i + run])) for i in range(len(rk) - run + 1))
+    want = [i for i, n in sorted(points.items()) if n >= fingerprint.POINTS and rk[i] <= fingerprint.LEVELS]
     assert fingerprint.features(x, rank).tolist() == want
 
 
@@ -144,6 +145,20 @@ def test_edited_texts(spark, odd, parts):
     assert all(len(v) == 1 for v in by.values())
 
 
+def test_edited_texts_of_far_and_missing_ids(spark):
+    """One id far from all others, repeated ids and many null ones: ranges follow the rows, and every row meets the next."""
+    r = random.Random(6)
+    rows = [(i if i < 150 else None if i < 230 else 5, "".join(r.choice("abcd ") for _ in range(r.randint(0, 30)))) for i in range(260)] + [(1 << 60, "far")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    hashes = {x["text"]: x["h"] for x in docs.select("text", F.xxhash64("text").alias("h")).collect()}
+    order = sorted(rows, key=lambda x: (x[0] is None, -(x[0] or 0), hashes[x[1]] if x[0] is None else 0, x[1]))
+    want = collections.Counter()
+    for k, (i, t) in enumerate(order):
+        take = len(t) // 3
+        want[str(i), hashlib.sha256((t[: len(t) - take] + order[(k + 1) % len(order)][1][:take]).encode()).hexdigest()] += 1
+    assert collections.Counter((str(x["doc_id"]), x["edited_sha256"]) for x in fingerprint.compare_edited(docs).collect()) == want
+
+
 def test_likeness_tells_edits_from_others(spark, none):
     got = fingerprint.compare_edited(spark.read.parquet("/root/testdata/sf0.001/documents.parquet")).collect()
     assert np.mean([r["near_edited"] > r["near_next"] for r in got]) > 0.97

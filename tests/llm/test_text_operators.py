@@ -373,6 +373,19 @@ def test_url_suffixes_of_all_labels(spark):
     assert [r["page_id"] for r in got if (r["verdict"] == "block") != bool(r["y"])] == []
 
 
+def test_url_odd(spark):
+    """Clashing columns, null and very long urls, repeated pages, labels of one kind or none."""
+    rows = [(1, None, 2), (2, "", 2), (2, "", 2), (3, "http://example.com/a", 2), (None, "x://" + "a." * 9000 + "com/" + "b/" * 9000, 2), (5, "no scheme", 2)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, score int").withColumns({c: F.lit("x") for c in ("host", "path", "suffix", "y", "rule", "id", "depth", "__n")})
+    labelled = spark.createDataFrame([("http://example.com/a", 1), ("http://www.example.com/b", 1), (None, 1), ("http://x.org", None)], "url string, y int")
+    for given, verdict in ((labelled, "block"), (labelled.withColumn("y", F.lit(0)), "allow"), (labelled.limit(0), "allow")):
+        got = url_filter.judge(pages, given, [("allow", "com/never/")]).collect()
+        assert len(got) == len(rows) and {r["verdict"] for r in got} == {verdict}
+        assert {r["host"] for r in got if r["page_id"] in (1, 2, 5)} == {""}
+    suffixes = spark.createDataFrame([("example.com",), ("www.example.com",), ("a.b.example.com",), ("com",), ("",)], "host string").select(url_filter.suffix_of(F.col("host"))).collect()
+    assert [r[0] for r in suffixes] == ["example.com", "www.example.com", "b.example.com", "com", ""]
+
+
 def test_empty_tables(spark, none):
     assert exact_dedup.exact_dedup(none).count() == 0
     assert sentencepiece_codec.digests(none, PIECE).count() == 0
