@@ -70,6 +70,25 @@ def composite_score(scores: dict[str, Column], signals: set[str], weights: dict[
     return composite([(chosen[k], scores[k]) for k in (*SIGNALS, "rrf") if chosen.get(k) and k in scores])
 
 
+def display_scores(raw: dict[str, Column], signals: set[str], lists: int) -> dict[str, Column]:
+    """The normalised scores that a result shows: raw semantic, keyword, rrf, graph and memory scores of the signals that are on.
+
+    Without a keyword match the fused rank counts half. A memory score is shown of memories only (NULL elsewhere)."""
+    none = F.lit(None).cast("double")
+    out = {}
+    if "semantic" in signals:
+        out["semantic"] = calibrate_semantic(F.coalesce(raw.get("semantic", none), F.lit(0.0)))
+    if "keyword" in signals:
+        keyword = F.coalesce(raw.get("keyword", none), F.lit(0.0))
+        out["keyword"] = calibrate_keyword(keyword)
+        out["rrf"] = normalize_rrf(raw.get("rrf", none), lists) * F.when(keyword > 0, 1.0).otherwise(0.5)
+    if "graph" in signals:
+        out["graph"] = normalize_ppr(F.coalesce(raw.get("graph", none), F.lit(0.0)))
+    if "memory" in signals:
+        out["memory"] = clamp01(raw.get("memory", none))
+    return out
+
+
 def runner_weights(weights: dict[str, float] | None = None) -> dict[str, float]:
     """Rank-fusion weights of runners from the user's signal weights."""
     if not weights:

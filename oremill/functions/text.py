@@ -99,6 +99,11 @@ def dedup_key(bucket: Column, source: Column, index: Column, content: Column) ->
     return F.when(whole, F.concat_ws(":", bucket, source, index.cast("string"))).otherwise(F.sha2(F.coalesce(content, F.lit("")), 256))
 
 
+def identity_key(bucket: Column, source: Column, index: Column, content: Column) -> Column:
+    """Which result a row is: its chunk, or its content where it has none."""
+    return F.coalesce(F.concat(bucket, F.lit(":"), source, F.lit(":"), index.cast("string")), content)
+
+
 def estimate_tokens(s: Column) -> Column:
     """Words by 1.3, rounded up (in integers: 13 words in 10 tokens)."""
     words = F.size(F.filter(F.split(s, "\\s+"), lambda w: w != ""))

@@ -75,10 +75,48 @@ def memory_filter(ids: list[str] | None = None, categories: list[str] | None = N
     if as_of is not None:
         out = out & active_at(F.lit(as_of), F.col("valid_at"), F.col("invalid_at"))
     for k, v in (metadata or {}).items():
-        out = out & (F.expr(f"variant_get(metadata, '$.{k}', 'string')") == v)
+        out = out & (F.variant_get(F.col("metadata"), _path(k), "string") == v)
     return out
 
 
+def _path(key: str) -> str:
+    """The path of a key of a variant, whatever characters the key holds; it is a literal, never part of an expression."""
+    if '"' not in key:
+        return f'$["{key}"]'
+    if "'" not in key:
+        return f"$['{key}']"
+    raise ValueError("a metadata key with both kinds of quotes")
+
+
+def entities_by_id(entities: DataFrame, ids: list[str], who: Identity = Identity()) -> DataFrame:
+    """Entities of the given ids that the caller may see."""
+    own = entities.where(F.col("id").isin(ids) if ids else F.lit(False))
+    return own.where(identity_filter(who) & visibility_gate(who))
+
+
+def scope_matches(who: Identity) -> Column:
+    """Does a record's scope fit the query's? Every id that both give must be equal; what either leaves open fits."""
+    out = F.lit(True)
+    for k, v in who.given().items():
+        out = out & (F.col(f"{k}_id").isNull() | (F.col(f"{k}_id") == v))
+    return out
+
+
+def after(df: DataFrame, key: str, last, limit: int) -> DataFrame:
+    """The next page of a full scan, by key."""
+    return (df if last is None else df.where(F.col(key) > F.lit(last))).orderBy(key).limit(limit)
+
+
+def filtered_entities(found: DataFrame, edges: DataFrame, kind: str | None = None, connections: int = 0) -> DataFrame:
+    """A search's short list after its limit: of one type, with so many edges at least; the list is the broadcast side of the count."""
+    kept = found if kind is None else found.where(F.col("type") == kind)
+    if connections <= 0:
+        return kept
+    few = F.broadcast(kept.select("id"))
+    ends = edges.select(F.explode(F.array("source", "target")).alias("id")).join(few, "id").groupBy("id").agg(F.count("*").alias("connections"))
+    return kept.join(ends.where(F.col("connections") >= connections), "id")
+
+
 def by_refs(chunks: DataFrame, refs: DataFrame, on: tuple[str, ...] = ("bucket_id", "source_id", "chunk_index")) -> DataFrame:
     """Chunks at the given points; an empty list of points gives none."""
     return chunks.join(refs.select(*on).distinct(), list(on), "left_semi")

@@ -99,18 +99,70 @@ def summarise(batches: DataFrame, summary: Callable[[list[str]], str]) -> DataFr
     return grouped.mapInPandas(run, f"conversation_id {kind}, batch int, n long, content string")
 
 
-def correct(memories: DataFrame, corrections: DataFrame, as_of: dt.datetime) -> DataFrame:
-    """Facts that contain a correction's wrong text, or are contained in it, end; corrections: wrong."""
+def correct(memories: DataFrame, corrections: DataFrame, as_of: dt.datetime, most: int = 1000) -> DataFrame:
+    """Facts that contain a correction's wrong text, or are contained in it, end; corrections: wrong.
+
+    Corrections are one request's, broadcast up to `most`; more are refused."""
     facts = memories.where((F.col("category") == "semantic") & (F.col("status") == "active")).select("id", F.lower("content").alias("c"))
     wrong = corrections.select(F.lower("wrong").alias("w")).distinct()
-    hit = facts.join(F.broadcast(wrong.limit(1000)), F.contains("c", F.col("w")) | F.contains("w", F.col("c"))).select("id")
+    if wrong.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} corrections at once")
+    hit = facts.join(F.broadcast(wrong), F.contains("c", F.col("w")) | F.contains("w", F.col("c"))).select("id")
     return invalidate(memories, hit, as_of)
 
 
-def prompt(memories: DataFrame) -> DataFrame:
-    """category, text: a bulleted list of contents by category."""
+def prompt(memories: DataFrame, by: tuple[str, ...] = ("conversation_id",)) -> DataFrame:
+    """by, category, text: a bulleted list of contents by category, for each conversation (or whatever bounds a prompt)."""
     title = F.lit("Memories")
     for k, v in CATEGORY_TITLES.items():
         title = F.when(F.col("category") == k, v).otherwise(title)
     lines = F.concat_ws("\n", F.transform(F.sort_array(F.collect_list(F.struct("id", "content"))), lambda s: F.concat(F.lit("- "), s["content"])))
-    return memories.groupBy("category").agg(lines.alias("lines")).select("category", F.concat_ws("\n", F.concat(title, F.lit(":")), "lines").alias("text"))
+    return memories.groupBy(*by, "category").agg(lines.alias("lines")).select(*by, "category", F.concat_ws("\n", F.concat(title, F.lit(":")), "lines").alias("text"))
+
+
+def expire(memories: DataFrame, ids: DataFrame, as_of: dt.datetime) -> DataFrame:
+    """The given ids end their life, whatever their state; expired_at says when."""
+    if "expired_at" not in memories.columns:
+        memories = memories.withColumn("expired_at", F.lit(None).cast("timestamp"))
+    out = memories.join(ids.select("id").distinct().withColumn("__x", F.lit(True)), "id", "left")
+    hit = F.col("__x").isNotNull()
+    return out.withColumn("expired_at", F.when(hit, F.lit(as_of).cast("timestamp")).otherwise(F.col("expired_at"))).withColumn("status", F.when(hit, "expired").otherwise(F.col("status"))).drop("__x")
+
+
+def history(memories: DataFrame, memory_id) -> DataFrame:
+    """The one row that is kept of a memory, whatever its state."""
+    return memories.where(F.col("id") == memory_id)
+
+
+def has_any(memories: DataFrame) -> bool:
+    """Is there a memory at all? One row is read."""
+    return not memories.limit(1).isEmpty()
+
+
+def about(memories: DataFrame, links: DataFrame, entities: DataFrame) -> DataFrame:
+    """Memories linked (memory_id, entity_id) to any of the given entities (id)."""
+    at = links.join(entities.select(F.col("id").alias("entity_id")).distinct(), "entity_id", "left_semi")
+    return memories.join(at.select(F.col("memory_id").alias("id")).distinct(), "id", "left_semi")
+
+
+def promotable(memories: DataFrame, word: str, least: int = 3, most: int = 50) -> DataFrame:
+    """Conversations with `least` active episodes that tell of an action, and their first `most` episodes' ids: what procedures are learned from."""
+    acts = memories.where((F.col("category") == "episodic") & (F.col("status") == "active") & F.contains(F.lower("content"), F.lit(word)))
+    w = Window.partitionBy("conversation_id").orderBy("created_at", "id")
+    first = acts.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= most)
+    lists = first.groupBy("conversation_id").agg(F.count("*").alias("episodes"), F.transform(F.sort_array(F.collect_list(F.struct("__n", "id"))), lambda s: s["id"]).alias("ids"))
+    return lists.where(F.col("episodes") >= least)
+
+
+def contradictions(facts: DataFrame, new: DataFrame, judge: Callable[[str, str], bool], k: int = 10) -> DataFrame:
+    """new_id, id of old facts (id, content, embedding) that a new one (new_id, content, embedding) contradicts, by a plug-in that sees the k nearest of each."""
+    from oremill.operators.retrieval import batch_topk
+
+    near = batch_topk(facts, new.select(F.col("new_id").alias("query_id"), "embedding"), k).select(F.col("query_id").alias("new_id"), "id")
+    pairs = near.join(facts.select("id", F.col("content").alias("old")), "id").join(new.select("new_id", F.col("content").alias("said")), "new_id")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield f[[judge(a, b) for a, b in zip(f["said"], f["old"], strict=True)]][["new_id", "id"]]
+
+    return pairs.mapInPandas(run, "new_id long, id long")

@@ -39,6 +39,10 @@ ALIASES = {
 }
 
 
+#: Names that are broadcast, at most.
+MOST = 10_000
+
+
 def rows(extra: list[list[str]] = ()) -> list[tuple[str, str, bool, str | None]]:
     """name, relation, swap, status. A passive (X_BY) of a relation or of another name of it changes places by rule.
     extra: lists of synonyms, the first of each the relation."""
@@ -54,9 +58,13 @@ def table(spark: SparkSession, extra: list[list[str]] = ()) -> DataFrame:
 
 
 def normalise(triples: DataFrame, names: DataFrame, column: str = "predicate") -> DataFrame:
-    """Triples (subject, <column>, object) with normal relations, swapped where their names say so; valid says whether a relation is known."""
+    """Triples (subject, <column>, object) with normal relations, swapped where their names say so; valid says whether a relation is known.
+
+    names: a table of an ontology, broadcast up to MOST names; a larger one is joined as tables are."""
+    if names.limit(MOST + 1).count() <= MOST:
+        names = F.broadcast(names)
     original = sanitize_predicate(F.col(column))
-    t = triples.withColumn("original", original).join(F.broadcast(names.limit(10_000).select(F.col("name").alias("original"), F.col("predicate").alias("__p"), "swap", "temporal_status")), "original", "left")
+    t = triples.withColumn("original", original).join(names.select(F.col("name").alias("original"), F.col("predicate").alias("__p"), "swap", "temporal_status"), "original", "left")
     cue = F.col("original").isin(*ALIAS_CUES)
     swap = F.coalesce("swap", F.lit(False)) & ~cue
     p = F.when(cue, F.col("original")).otherwise(F.coalesce("__p", "original"))

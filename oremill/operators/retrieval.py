@@ -137,6 +137,17 @@ def merge_runners(candidates: DataFrame, k: int, signals: set[str] = frozenset(S
     return out.select("key", F.concat_ws(",", "modes").alias("modes"), "rrf", "composite").orderBy(F.desc("composite"), F.desc("rrf"), "key").limit(k)
 
 
+def memory_only(modes: Column) -> Column:
+    """Is a merged result (its modes, joined by commas) a memory and nothing else? Such results are listed apart from chunks."""
+    return modes == "memory"
+
+
+def counters(results: DataFrame) -> DataFrame:
+    """One row of counts by mode and of all merged results."""
+    has = lambda m: F.count_if(F.array_contains(F.split("modes", ","), m)).alias(m)
+    return results.agg(F.count("*").alias("results"), has("indexed"), has("graph"), has("memory"), F.count_if(memory_only(F.col("modes"))).alias("memories"))
+
+
 def reinforce(graph: DataFrame, indexed: DataFrame, mode: str, key: str = "key") -> DataFrame:
     """off: all graph hits; prefer: those that the index found too count 1.5 times; only: just those (all, without any indexed hit)."""
     if mode == "off":

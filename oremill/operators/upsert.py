@@ -43,9 +43,12 @@ def graph_edges(old: DataFrame, new: DataFrame, cap: float = EDGE_CAP) -> DataFr
 
     With weights of at least 0, capping each step is capping the sum."""
     both = old.unionByName(new)
-    g = both.groupBy("source", "target", "relation").agg(F.sum("weight").alias("total"), F.count("*").alias("n"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("evidence")))).alias("evidence"))
+    g = both.groupBy("source", "target", "relation").agg(F.sum("weight").alias("total"), F.count("*").alias("n"))
     weight = F.when(F.col("n") == 1, F.col("total")).otherwise(F.least(F.lit(cap), F.col("total")))
-    return g.select("source", "target", "relation", weight.alias("weight"), F.filter("evidence", lambda e: e != "").alias("evidence"))
+    # each piece of evidence once: the set is made in the tasks first, and holds distinct values only
+    proof = both.select("source", "target", "relation", F.explode("evidence").alias("e")).where("e <> ''").groupBy("source", "target", "relation").agg(F.sort_array(F.collect_set("e")).alias("evidence"))
+    out = g.select("source", "target", "relation", weight.alias("weight")).join(proof, ["source", "target", "relation"], "left")
+    return out.withColumn("evidence", F.coalesce("evidence", F.expr("cast(array() as array<string>)")))
 
 
 def facts(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -107,6 +110,40 @@ def delete_entities(edges: DataFrame, gone: DataFrame, purge: bool) -> DataFrame
     return out.withColumn("valid", F.col("valid") & F.col("__s").isNull() & F.col("__t").isNull()).drop("__s", "__t")
 
 
+def invalidate_edges(edges: DataFrame, at: Column, ids: DataFrame | None = None, nodes: DataFrame | None = None) -> DataFrame:
+    """Edges (edge_id, source, target, invalid_at) with the given ids, or at the given nodes (id), end at a time unless they have ended."""
+    mark = F.lit(True)
+    out = edges
+    for column, keys in (("edge_id", ids), ("source", nodes), ("target", nodes)):
+        if keys is not None:
+            out = out.join(keys.select(F.col("id").alias(column)).distinct().withColumn(f"__{column}", mark), column, "left")
+    marks = [c for c in out.columns if c.startswith("__")]
+    hit = F.coalesce(*marks, F.lit(False)) if marks else F.lit(False)
+    return out.withColumn("invalid_at", F.when(hit & F.col("invalid_at").isNull(), at).otherwise(F.col("invalid_at"))).drop(*marks)
+
+
+def merge_properties(old: Column, new: Column) -> Column:
+    """Shallow merge of two maps: the new one's keys win."""
+    kept = F.map_filter(F.coalesce(old, F.expr("cast(map() as map<string,string>)")), lambda k, v: ~F.coalesce(F.map_contains_key(new, k), F.lit(False)))
+    return F.map_concat(kept, F.coalesce(new, F.expr("cast(map() as map<string,string>)")))
+
+
+def delete_hashes(hashes: DataFrame, keys: DataFrame | None = None, bucket: str | None = None, tenant: str | None = None) -> DataFrame:
+    """Hashes without those of the given store keys, or of a bucket (of one tenant, or of all)."""
+    if keys is not None:
+        return hashes.join(keys.select("store_key").distinct(), "store_key", "left_anti")
+    if bucket is None:
+        raise ValueError("keys or a bucket are needed")
+    gone = F.col("bucket_id") == bucket
+    return hashes.where(~F.coalesce(gone if tenant is None else gone & (F.col("tenant_id") == tenant), F.lit(False)))
+
+
+def with_external_ids(entities: DataFrame, external: DataFrame) -> DataFrame:
+    """Entities with the sorted list of their external ids (type:value), each once."""
+    lists = external.groupBy(F.col("entity_id").alias("id")).agg(F.array_join(F.sort_array(F.collect_set(F.concat_ws(":", "type", "value"))), ",").alias("external_ids"))
+    return entities.join(lists, "id", "left").withColumn("external_ids", F.coalesce("external_ids", F.lit("")))
+
+
 def conflicts(new: DataFrame, old: DataFrame, keys: list[str]) -> DataFrame:
     """External ids of `new` that another entity owns already, or that two new entities claim."""
     owners = old.unionByName(new).groupBy(*keys).agg(F.count_distinct("entity_id").alias("owners"), F.min("entity_id").alias("first"))

@@ -14,7 +14,7 @@ from oremill.functions import scoring as S
 from oremill.functions import temporal as T
 from oremill.functions import text as X
 from oremill.operators import access as A
-from oremill.operators import chunking, context, governance, graph, intent, memory, ontology, resolution, retrieval, upsert
+from oremill.operators import chunking, context, governance, graph, memory, ontology, resolution, retrieval, upsert
 from oremill.plans.shipping import ship
 from oremill.streaming import events as streams
 
@@ -336,9 +336,9 @@ def memory_invalidate(spark, sf_dir):
     return out.select("id", "status", F.unix_seconds(F.col("invalid_at").cast("timestamp")).alias("invalid_s"))
 
 
-@query(f"WITH {R.MEMORIES} SELECT category, (CASE category WHEN 'semantic' THEN 'Facts' WHEN 'episodic' THEN 'Episodes' ELSE 'Procedures' END) || ':' || chr(10) || string_agg('- ' || content, chr(10) ORDER BY id) AS text FROM memories WHERE conversation_id < 20 GROUP BY category")
+@query(f"WITH {R.MEMORIES} SELECT conversation_id, category, (CASE category WHEN 'semantic' THEN 'Facts' WHEN 'episodic' THEN 'Episodes' ELSE 'Procedures' END) || ':' || chr(10) || string_agg('- ' || content, chr(10) ORDER BY id) AS text FROM memories GROUP BY conversation_id, category")
 def memory_prompt(spark, sf_dir):
-    return memory.prompt(R.memories(spark, sf_dir).where("conversation_id < 20"))
+    return memory.prompt(R.memories(spark, sf_dir))
 
 
 # --- graph
@@ -403,13 +403,21 @@ def shortest_path(spark, sf_dir):
     return graph.shortest_path(R.edges(spark, sf_dir), "cust:1", "supp:1")
 
 
-@query("SELECT 'ord:' || o_orderkey AS id, 'cust:' || o_custkey AS component FROM orders UNION ALL SELECT DISTINCT 'cust:' || o_custkey, 'cust:' || o_custkey FROM orders")
+def _components_sql(rounds: int) -> str:
+    """The least id spreads by one step a round; no two vertices of a component are further apart."""
+    out = f"WITH {R.EDGES}, {_STEPS}, c0 AS MATERIALIZED (SELECT DISTINCT source AS id, source AS component FROM steps)"
+    for i in range(1, rounds + 1):
+        out += f", c{i} AS MATERIALIZED (SELECT c.id, least(any_value(c.component), min(n.component)) AS component FROM c{i - 1} c JOIN steps ON source = c.id JOIN c{i - 1} n ON n.id = target GROUP BY c.id)"
+    return out + f" SELECT id, component FROM c{rounds}"
+
+
+@query(_components_sql(10))
 def components(spark, sf_dir):
-    return graph.components(R.edges(spark, sf_dir, ("PLACED_BY",)))
+    return graph.components(R.edges(spark, sf_dir))
 
 
 def _ppr_sql(steps: int) -> str:
-    out = f"WITH {R.EDGES}, u AS (SELECT source, target, sum(weight) AS weight FROM (SELECT source, target, weight FROM edges WHERE relation IN ('LOCATED_IN', 'PLACED_BY') UNION ALL SELECT target, source, weight FROM edges WHERE relation IN ('LOCATED_IN', 'PLACED_BY')) GROUP BY ALL), "
+    out = f"WITH {R.EDGES}, u AS (SELECT source, target, sum(weight) AS weight FROM (SELECT source, target, weight FROM edges UNION ALL SELECT target, source, weight FROM edges) GROUP BY ALL), "
     out += "sh AS (SELECT source, target, weight / sum(weight) OVER (PARTITION BY source) AS share FROM u), reset AS (SELECT * FROM (VALUES ('cust:1', 2 / 3.0::DOUBLE), ('nation:3', 1 / 3.0::DOUBLE)) t(id, reset)), p0 AS (SELECT id, reset AS score FROM reset)"
     for i in range(1, steps + 1):
         out += f", p{i} AS (SELECT id, sum(score) AS score FROM (SELECT target AS id, 0.5 * score * share AS score FROM p{i - 1} JOIN sh ON source = id UNION ALL SELECT id, 0.5 * reset FROM reset) GROUP BY id)"
@@ -419,7 +427,7 @@ def _ppr_sql(steps: int) -> str:
 @query(_ppr_sql(5))
 def ppr_fixed_iterations(spark, sf_dir):
     seeds = spark.createDataFrame([("cust:1", 2.0), ("nation:3", 1.0)], "id string, weight double")
-    return graph.pagerank(graph.undirected(R.edges(spark, sf_dir, ("LOCATED_IN", "PLACED_BY"))), seeds, iterations=5, fixed=True).select("id", F.round("score", 9).alias("score"))
+    return graph.pagerank(graph.undirected(R.edges(spark, sf_dir)), seeds, iterations=5, fixed=True).select("id", F.round("score", 9).alias("score"))
 
 
 _FACTS = "facts AS (SELECT l_orderkey * 10 + l_linenumber AS id, 'part:' || (l_partkey % 40) AS source, 'supp:' || (l_suppkey % 10) AS target, 'part ' || (l_partkey % 40) || ' from ' || (l_suppkey % 10) AS content, round(l_extendedprice / 100000, 6) AS score FROM lineitem)"
@@ -462,9 +470,9 @@ def mention_rollup(spark, sf_dir):
     return graph.mention_edges(m)
 
 
-@query(f"WITH {R.EDGES}, {R.ENTITIES} SELECT edge_id, coalesce(a.name, source) AS source_name, relation, coalesce(b.name, target) AS target_name FROM edges LEFT JOIN entities a ON a.id = source LEFT JOIN entities b ON b.id = target WHERE relation = 'SUPPLIED_BY'")
+@query(f"WITH {R.EDGES}, {R.ENTITIES} SELECT edge_id, coalesce(a.name, source) AS source_name, relation, coalesce(b.name, target) AS target_name FROM edges LEFT JOIN entities a ON a.id = source LEFT JOIN entities b ON b.id = target")
 def hydrate_names(spark, sf_dir):
-    e, n = R.edges(spark, sf_dir, ("SUPPLIED_BY",)), R.entities(spark, sf_dir)
+    e, n = R.edges(spark, sf_dir), R.entities(spark, sf_dir)
     return context.hydrate(e, n).select("edge_id", "source_name", "relation", "target_name")
 
 
@@ -541,19 +549,22 @@ def entity_merge(spark, sf_dir):
     return upsert.merge_entities(_part_edges(spark, sf_dir).select("source", "target", "relation", "weight"), merges).withColumn("weight", F.round("weight", 6))
 
 
-@query(f"WITH {R.EDGES} SELECT edge_id, NOT (source LIKE 'supp:%' AND CAST(substr(source, 6) AS BIGINT) % 3 = 0) AND NOT (target LIKE 'supp:%' AND CAST(substr(target, 6) AS BIGINT) % 3 = 0) AS valid FROM edges WHERE relation = 'SUPPLIED_BY'")
+@query(f"WITH {R.EDGES} SELECT edge_id, NOT (source LIKE 'supp:%' AND TRY_CAST(substr(source, 6) AS BIGINT) % 3 = 0) AND NOT (target LIKE 'supp:%' AND TRY_CAST(substr(target, 6) AS BIGINT) % 3 = 0) AS valid FROM edges")
 def entity_delete(spark, sf_dir):
     gone = R.table(spark, sf_dir, "supplier").where("s_suppkey % 3 = 0").select(F.concat(F.lit("supp:"), "s_suppkey").alias("id"))
-    return upsert.delete_entities(R.edges(spark, sf_dir, ("SUPPLIED_BY",)).withColumn("valid", F.lit(True)), gone, purge=False).select("edge_id", "valid")
+    return upsert.delete_entities(R.edges(spark, sf_dir).withColumn("valid", F.lit(True)), gone, purge=False).select("edge_id", "valid")
 
 
 # --- text
 
 
-@query("SELECT a.n_name AS a, b.n_name AS b, round(len(list_intersect(ta, tb)) / len(list_distinct(list_concat(ta, tb))), 6) AS score FROM (SELECT n_name, list_distinct(list_transform(range(1, length(n_name) - 1), lambda i: substr(n_name, i, 3))) AS ta FROM nation) a, (SELECT n_name, list_distinct(list_transform(range(1, length(n_name) - 1), lambda i: substr(n_name, i, 3))) AS tb FROM nation) b WHERE a.n_name < b.n_name")
+_GRAMS = "list_distinct(list_transform(range(1, length({0}) - 1), lambda i: substr({0}, i, 3)))"
+
+
+@query(f"SELECT a, b, round(len(list_intersect(ta, tb)) / len(list_distinct(list_concat(ta, tb))), 6) AS score FROM (SELECT n_name AS a, r_name AS b, {_GRAMS.format('n_name')} AS ta, {_GRAMS.format('r_name')} AS tb FROM nation JOIN region ON r_regionkey = n_regionkey)")
 def trigram_jaccard(spark, sf_dir):
-    n = R.table(spark, sf_dir, "nation").select("n_name")
-    pairs = n.toDF("a").join(F.broadcast(n.toDF("b").limit(100)), F.col("a") < F.col("b"))
+    n, r = R.table(spark, sf_dir, "nation"), R.table(spark, sf_dir, "region")
+    pairs = n.join(r, n.n_regionkey == r.r_regionkey).select(F.col("n_name").alias("a"), F.col("r_name").alias("b"))
     return pairs.withColumn("score", F.round(S.trigram_jaccard(F.col("a"), F.col("b")), 6))
 
 
@@ -650,11 +661,6 @@ def entity_resolution(spark, sf_dir):
     return resolution.resolve(R.entities(spark, sf_dir))
 
 
-@query()
-def intent_parse(spark, sf_dir):
-    return intent.parse(R.table(spark, sf_dir, "conversations").where("role = 'user'").select(F.concat_ws(":", "conv_id", "turn").alias("id"), F.col("text").alias("query")))
-
-
 @query()
 def extract_triples(spark, sf_dir):
     return resolution.extract(R.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content")))

@@ -117,12 +117,17 @@ def test_resolution(spark):
     assert list(resolution.triples("Alice founded Acme. Bob was hired by Carol.")) == [("Alice", "FOUNDED", "Acme"), ("Bob", "HIRED_BY", "Carol")]
 
 
-def test_intents():
-    assert intent.parse_one("Who killed the Old King?").targets == ["Old King"]
-    x = intent.parse_one("who was the wife of Henry Ford?")
-    assert (x.sources, x.predicates, x.strictness) == (["Henry Ford"], ["MARRIED"], "strict")
-    assert intent.parse_one("Tell me about Ada Lovelace").sources == ["Ada Lovelace"]
-    assert intent.parse_one("nothing here") is None and intent.parse_one("") is None
+def test_intents(spark):
+    want = {
+        "Who killed the Old King?": ("", "Old King", "KILLED", "fact", "strict"), "who was the wife of Henry Ford?": ("Henry Ford", "", "MARRIED", "fact", "strict"), "Who is Ada's father": ("", "Ada", "PARENT_OF", "fact", "strict"),
+        "where is Acme headquartered": ("Acme", "", "HEADQUARTERED_IN", "fact", "strict"), "where is Acme located?": ("Acme", "", "LOCATED_IN", "fact", "strict"), "Where was Ada born?": ("Ada", "", "BORN_IN", "fact", "strict"),
+        "Tell me about the fox": ("fox", "", "", "summary", "soft"), "Tell me about Ada Lovelace": ("Ada Lovelace", "", "", "summary", "soft"), "How are Bob and Eve related?": ("Bob", "Eve", "", "relationship", "soft"),
+        "tell me about it": None, "nothing here": None, "": None, "Ada met Charles Babbage": ("Ada, Charles Babbage", "", "", "summary", "soft"), "Write a letter to 'x' from Ada": ("Ada", "", "", "creative", "soft"),
+        "What does \"Big Corp\" own?": ("Big Corp", "", "OWNS", "fact", "strict"), "why did Ada go": None,
+    }
+    got = {r["id"]: tuple(r)[1:] for r in intent.parse(frame(spark, [(q, q) for q in want], "id string, query string")).collect()}
+    assert got == {q: v for q, v in want.items() if v}
+    assert intent.parse(frame(spark, [(1, None)], "id int, query string")).count() == 0
 
 
 def test_ontology(spark):

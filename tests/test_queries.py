@@ -1,6 +1,6 @@
 import pytest
 
-from oremill import queries_knowledge  # noqa: F401  registers its queries
+from oremill import queries_graph, queries_knowledge  # noqa: F401  register their queries
 from oremill.queries import ORACLES, QUERIES
 from tests.compare import duck_rows, spark_rows
 
