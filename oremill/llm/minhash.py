@@ -24,8 +24,9 @@
 5. Classes are the connected components of the links, by label propagation with pointer jumping over stored tables.
 
 Defined results: null text is empty; a text without words has no shingles and is a class of its own; repeated rows
-(equal ids and texts) fall in one class; a null id is in no link and is a class of its own (class_id null); extra
-columns are ignored.
+(equal ids and texts) fall in one class; texts of one id are told apart, each by its words, so that a class is one of texts (two classes whose smallest ids
+are equal have that one as their class_id); a null id is in no link and is a class of its own (class_id null); extra
+columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -111,8 +112,13 @@ def band_keys(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return out.view(np.int64)
 
 
+def words_key(words: np.ndarray) -> bytes | None:
+    """A key of the sequence of words; null without words."""
+    return xxhash.xxh3_128_digest(words.tobytes()) if len(words) else None
+
+
 def _sketches(docs: DataFrame, bands: int, rows: int, k: int) -> DataFrame:
-    """id, words_key (of the sequence of words; null without words) and the distinct keys of its bands."""
+    """id, row, words_key and the distinct keys of its bands, from id, text and row."""
     number = mix(np.arange(bands, dtype=np.uint64))
 
     def keyed(texts: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
@@ -121,7 +127,7 @@ def _sketches(docs: DataFrame, bands: int, rows: int, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             words = [word_hashes(x or "") for x in b.column(1).to_pylist()]
-            keys = [xxhash.xxh3_128_digest(w.tobytes()) if len(w) else None for w in words]
+            keys = list(map(words_key, words))
             full = [i for i, w in enumerate(words) if len(w)]
             got: list = [None] * len(words)
             at = 0
@@ -138,22 +144,23 @@ def _sketches(docs: DataFrame, bands: int, rows: int, k: int) -> DataFrame:
                     for (i, _), x in zip(repeats, keyed([t for _, t in repeats]), strict=True):
                         got[i] = np.unique(np.r_[got[i], x])
                 at = to
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.binary()), pa.array(got, pa.list_(pa.int64()))], ["id", "words_key", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(keys, pa.binary()), pa.array(got, pa.list_(pa.int64()))], ["id", "row", "words_key", "bands"])
         _HASHES.reset()  # the worker lives on for other operators
 
-    return base.map_arrow(docs, run, "id long, words_key binary, bands array<long>")
+    return base.map_arrow(docs.select("id", "text", "row"), run, "id long, row long, words_key binary, bands array<long>")
 
 
 def shingle_sets(docs: DataFrame, k: int = WORDS) -> DataFrame:
-    """id and its sorted set of shingle hashes, from id and text."""
+    """words_key and the sorted set of shingle hashes of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [np.unique(shingles(word_hashes(x or ""), k)).view(np.int64) for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.list_(pa.int64()))], ["id", "shingles"])
+            words = [word_hashes(x or "") for x in b.column(0).to_pylist()]
+            got = [np.unique(shingles(w, k)).view(np.int64) for w in words]
+            yield pa.RecordBatch.from_arrays([pa.array(list(map(words_key, words)), pa.binary()), pa.array(got, pa.list_(pa.int64()))], ["words_key", "shingles"])
         _HASHES.reset()
 
-    return base.map_arrow(docs, run, "id long, shingles array<long>")
+    return base.map_arrow(docs.select("text"), run, "words_key binary, shingles array<long>")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -231,30 +238,48 @@ def components(edges: DataFrame) -> DataFrame:
         base.drop(new)
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, k: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, class_id (the smallest id of its class), class_size and links (verified links of its representative) of every row."""
-    own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+def _classed(own: DataFrame, threshold: float, bands: int, rows: int, k: int) -> DataFrame:
+    """id, row, class (a number; null without words or without an id) and class_id of own's rows (id, text, row), stored."""
     sketches = base.store(_sketches(own, bands, rows, k), "sketches")
     usable = F.col("words_key").isNotNull() & F.col("id").isNotNull()
-    reps = base.store(sketches.where(usable).groupBy("words_key").agg(F.min("id").alias("rep"), F.first("bands").alias("bands")), "representatives")
+    reps = sketches.where(usable).groupBy("words_key").agg(F.min("id").alias("least"), F.first("bands").alias("bands"))
+    # representatives have numbers of their own: an id can have several texts
+    reps = base.store(reps.withColumn("rep", F.monotonically_increasing_id()), "representatives")
     banded = reps.select("rep", F.explode("bands").alias("band")).select("band", F.col("rep").alias("id"))
     shared = base.store(banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band"), "shared-bands")
     members = base.store(banded.join(shared, "band"), "members")
-    wanted = base.store(members.select("id").distinct(), "candidates")
-    sets = base.store(shingle_sets(own.join(wanted, "id", "left_semi").dropDuplicates(["id"]), k), "shingle-sets")
-    pairs = links(members, sets, threshold).distinct()
-    degree = pairs.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("links"))
-    classes = reps.join(components(pairs).select(F.col("id").alias("rep"), "label"), "rep", "left").join(degree, "rep", "left")
-    classes = classes.select("words_key", F.coalesce("label", "rep").alias("class_id"), F.coalesce("links", F.lit(0).cast("long")).alias("links"))
+    wanted = base.store(reps.join(members.select(F.col("id").alias("rep")).distinct(), "rep").select("rep", "words_key", "least"), "candidates")
+    texts = own.join(wanted.select(F.col("least").alias("id")).distinct(), "id", "left_semi")
+    sets = shingle_sets(texts, k).join(wanted.select("words_key", F.col("rep").alias("id")), "words_key").drop("words_key")
+    sets = base.store(sets.dropDuplicates(["id"]), "shingle-sets")  # equal sequences of words, equal sets
+    linked = reps.join(components(links(members, sets, threshold).distinct()).withColumnRenamed("id", "rep"), "rep").select("rep", "least", "label")
+    linked = base.store(linked, "linked")
+    named = base.store(linked.groupBy("label").agg(F.min("least").alias("named")), "named")
+    linked = linked.join(named, "label").select("rep", F.col("label"), "named")
+    classes = reps.join(linked, "rep", "left").select("words_key", F.coalesce("label", "rep").alias("class"), F.coalesce("named", "least").alias("class_id"))
     classes = base.store(classes, "classes")
-    row = sketches.select("id", "words_key").join(classes, "words_key", "left")
-    row = base.store(row.select("id", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("links", F.lit(0).cast("long")).alias("links")), "rows")
-    sizes = base.store(row.groupBy("class_id").agg(F.count("*").alias("class_size")), "sizes")
-    out = row.join(sizes, "class_id", "left").select("id", "class_id", F.coalesce("class_size", F.lit(1).cast("long")).alias("class_size"), "links")
+    row = sketches.select("id", "row", F.when(usable, F.col("words_key")).alias("words_key")).join(classes, "words_key", "left")
+    return base.store(row.select("id", "row", "class", F.coalesce("class_id", "id").alias("class_id")), "rows")
+
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, k: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, class_id (the smallest id of its class) and class_size of every row."""
+    own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.lit(0).cast("long").alias("row"))
+    row = _classed(own, threshold, bands, rows, k)
+    sizes = base.store(row.where("class IS NOT NULL").groupBy("class").agg(F.count("*").alias("class_size")), "sizes")
+    out = row.join(sizes, "class", "left").select("id", "class_id", F.coalesce("class_size", F.lit(1).cast("long")).alias("class_size"))
     return out.withColumnRenamed("id", id_col)
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:
-    """The rows of docs but those in a class of near-duplicates that aren't its smallest id."""
-    dropped = near_duplicates(docs, id_col=id_col, text_col=text_col, **parameters).where(f"`{id_col}` <> class_id").select(F.col(id_col).alias("__oremill_id")).distinct()
-    return docs.join(dropped, F.col(id_col) == F.col("__oremill_id"), "left_anti")
+_ROW = "__oremill_row"
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, k: int = WORDS) -> DataFrame:
+    """One row of each class of near-duplicates, that of the smallest id, with all its columns; rows without words or without an id stay.
+
+    docs is stored once with a number for each row, which all steps read."""
+    numbered = base.store(docs.withColumn(_ROW, F.monotonically_increasing_id()), "numbered")
+    row = _classed(numbered.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.col(_ROW).alias("row")), threshold, bands, rows, k)
+    first = base.store(row.where("class IS NOT NULL").groupBy("class").agg(F.min(F.struct("id", "row")).alias("first"), F.count("*").alias("n")).where("n > 1").select("class", F.col("first.row").alias("stays")), "first")
+    dropped = row.join(first, "class").where("row <> stays").select(F.col("row").alias(_ROW))
+    return numbered.join(dropped, _ROW, "left_anti").drop(_ROW)

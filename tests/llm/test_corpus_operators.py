@@ -102,7 +102,19 @@ def test_near_duplicates_odd(spark, odd, none):
     assert got[1] == {1, 2, 8} and got[6] == {6, 7} and got[3] == {3} and got[4] == {4} and got[5] == {5} and got[9] == {9} and got[None] == {None}
     kept = minhash.keep_one(odd)
     assert kept.columns == odd.columns and {r["doc_id"] for r in kept.collect()} == {1, 3, 4, 5, 6, 9, 10, 11, None}
-    assert minhash.near_duplicates(none).count() == 0
+    assert kept.count() == len({r["doc_id"] for r in kept.collect()})  # of repeated rows one
+    assert minhash.near_duplicates(none).count() == 0 and minhash.keep_one(none).count() == 0
+
+
+def test_texts_of_one_id_are_told_apart(spark):
+    r = random.Random(2)
+    text = lambda: " ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(60))
+    a, b, c = text(), text(), text()
+    docs = spark.createDataFrame([(5, a), (5, b), (2, a + " end"), (7, b + " end"), (9, c), (5, c)], "doc_id long, text string")
+    got = collections.Counter(tuple(x) for x in minhash.near_duplicates(docs).select("doc_id", "class_id", "class_size").collect())
+    assert got == collections.Counter([(5, 2, 2), (2, 2, 2), (5, 5, 2), (7, 5, 2), (9, 5, 2), (5, 5, 2)])
+    kept = sorted((x["doc_id"], x["text"]) for x in minhash.keep_one(docs).collect())
+    assert kept == sorted([(2, a + " end"), (5, b), (5, c)])
 
 
 # --- fingerprints
