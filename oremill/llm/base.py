@@ -35,14 +35,17 @@ class Memo(dict):
     """A dict that computes what it lacks, of two generations: when the younger one holds half of `most` entries or of `chars`
     characters it becomes the older one, which is forgotten; what is found there is young again."""
 
-    def __init__(self, make: Callable | None, most: int = 200_000, chars: int = 8_000_000):
+    def __init__(self, make: Callable | None, most: int = 200_000, chars: int = 8_000_000, longest: int = 256):
         super().__init__()
-        self.make, self.most, self.chars, self.held, self.old = make, most // 2, chars // 2, 0, {}
+        self.make, self.most, self.chars, self.longest, self.held, self.old = make, most // 2, chars // 2, longest, 0, {}
 
     def reset(self) -> None:
         self.clear()
         self.held, self.old = 0, {}
 
+    def __reduce__(self):
+        return Memo, (self.make, 2 * self.most, 2 * self.chars, self.longest)  # what it holds stays behind
+
     def __missing__(self, key):
         out = self.old.get(key)
         if out is None:
@@ -51,7 +54,7 @@ class Memo(dict):
         return out
 
     def put(self, key, out) -> None:
-        if len(key) <= 256:
+        if len(key) <= self.longest:
             if len(self) >= self.most or self.held > self.chars:
                 self.old = dict(self)
                 self.clear()

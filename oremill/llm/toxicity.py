@@ -37,8 +37,8 @@ from pyspark.sql import functions as F
 
 from . import base
 
-EXAMPLES, LEAST, BLOCK, K, WAVE, SMOOTH, LIGHT, TOGETHER = 2000, 0.01, 64, 16, 16, 0.25, 0.02, 16
-#: TOGETHER: texts that are searched by the same array operations.
+EXAMPLES, LEAST, BLOCK, K, WAVE, SMOOTH, LIGHT, TOGETHER, REMEMBERED = 2000, 0.01, 64, 16, 8, 0.25, 0.02, 16, 4000
+#: TOGETHER: texts that are searched by the same array operations. REMEMBERED: texts whose results are kept at hand for copies of them.
 #: Characters of a stem, and what ends the names of stems and of terms that stand for another's second occurrence.
 STEM, STEMMED, TWICE = 5, "\1", "\0"
 _WORD = re.compile(r"\w+")
@@ -127,10 +127,11 @@ def document_frequencies(docs: DataFrame, vocabulary: list[str], text_col: str)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t, n, total = terms(key, vocabulary), np.zeros(len(vocabulary), np.int64), 0
+        known = base.Memo(lambda x: t.counts(x)[0], REMEMBERED, 4_000_000, 100_000)  # equal texts are split once
         for b in batches:
             for text in b.column(0).to_pylist():
                 total += 1
-                n[t.counts(text or "")[0]] += 1
+                n[known[text or ""]] += 1
         some = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, some]), pa.array(np.r_[total, n[some]])], ["term", "n"])
 
@@ -240,6 +241,7 @@ class Model:
     def __init__(self, vocabulary: list[str], total: int, df: np.ndarray, relevance: np.ndarray):
         self.key, self.vocabulary, self.weight = key_of(vocabulary), vocabulary, (1 + np.log((total + 1) / (df + 1))) * np.maximum(relevance, LEAST) ** 2
         self.index, self.prior, self.flat, self.slope, self.shift = None, 0.0, 0.0, 1.0, 0.0
+        self.known = base.Memo(None, REMEMBERED, 4_000_000, 100_000)  # texts that were just scored
 
     def weighted(self, t: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         w = (1 + np.log(n)) * self.weight[t]
@@ -273,22 +275,26 @@ class Model:
         w = cosines**2
         return float((w @ self.index.y[rows] + SMOOTH * self.prior) / (w.sum() + SMOOTH))
 
-    def scores(self, texts: list[str]) -> Iterator[tuple[float, list[dict]]]:
-        """Score and evidence of each text."""
+    def scores(self, texts: list[str]) -> Iterator[tuple[float, np.ndarray, np.ndarray]]:
+        """Of each text the score, and the index's rows and the cosines of its nearest examples."""
+        nothing = np.zeros(0, np.int64), np.zeros(0)
         if self.index is None:
-            yield from ((self.flat, []) for _ in texts)
+            yield from ((float(self.flat), *nothing) for _ in texts)
             return
         own = terms(self.key, self.vocabulary)
         for at in range(0, len(texts), TOGETHER):
-            found = [own.counts(x) for x in texts[at : at + TOGETHER]]
-            near = iter(self.index.search_all([self.weighted(t, n) for t, n in found if len(t)]) if any(len(t) for t, _ in found) else [])
-            for t, _ in found:
-                if not len(t):
-                    yield float(self.flat), []
-                    continue
-                rows, cosines = next(near)
-                p = 1 / (1 + np.exp(-(self.slope * logit(np.array([self.vote(rows, cosines)]))[0] + self.shift)))
-                yield float(p), [{"id": self.index.ids[r], "cosine": c, "label": int(self.index.y[r])} for r, c in zip(rows.tolist(), cosines.tolist(), strict=True)]
+            # equal texts are searched once
+            some = texts[at : at + TOGETHER]
+            found = {x: own.counts(x) for x in dict.fromkeys(some) if x not in self.known}
+            ask = {x: self.weighted(t, n) for x, (t, n) in found.items() if len(t)}
+            near = dict(zip(ask, self.index.search_all(list(ask.values())), strict=True)) if ask else {}
+            if near:
+                vote = logit(np.array([self.vote(*x) for x in near.values()]))
+                p = dict(zip(near, (1 / (1 + np.exp(-(self.slope * vote + self.shift)))).tolist(), strict=True))
+            got = {x: (p[x], *near[x]) if x in near else (float(self.flat), *nothing) for x in found}
+            yield from [got[x] if x in got else self.known[x] for x in some]
+            for x, g in got.items():
+                self.known.put(x, g)
 
 
 def logit(p: np.ndarray) -> np.ndarray:
@@ -336,27 +342,40 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return model
 
 
-def scored(model: Model, text: Column, id_type: str = "long") -> Column:
-    """A struct of score and evidence, as a column of text."""
+def score(docs: DataFrame, model: Model, at: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, score, predicted and evidence (id, cosine and label of the nearest examples) of every row. No shuffle."""
+    kind = docs.schema[id_col].dataType.simpleString()
 
-    @F.pandas_udf(f"score double, evidence array<struct<id: {id_type}, cosine: double, label: int>>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for s in batches:
-            got = list(model.scores([x or "" for x in s]))
-            yield pd.DataFrame({"score": [g[0] for g in got], "evidence": [g[1] for g in got]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = pa.array(model.index.ids if model.index else [])
+        labels = (model.index.y if model.index else np.zeros(0)).astype(np.int32)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            got = list(model.scores([x or "" for x in b.column(1).to_pylist()]))
+            p, rows = np.array([g[0] for g in got]), np.concatenate([g[1] for g in got])
+            near = pa.StructArray.from_arrays([ids.take(pa.array(rows)) if len(rows) else pa.array([], b.column(0).type), pa.array(np.concatenate([g[2] for g in got])), pa.array(labels[rows])], ["id", "cosine", "label"])
+            evidence = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(g[1]) for g in got)]), pa.int32()), near)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p), pa.array((p >= at).astype(np.int32)), evidence], ["id", "score", "predicted", "evidence"])
+        model.known.reset()  # the worker lives on for other operators
 
-    return run(text)
+    out = base.map_arrow(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), run, f"id {kind}, score double, predicted int, evidence array<struct<id: {kind}, cosine: double, label: int>>")
+    return out.withColumnRenamed("id", id_col)
 
 
-def score(docs: DataFrame, model: Model, at: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, score, predicted and evidence of every row. No shuffle."""
-    base.prepare(docs.sparkSession)
-    kind = docs.schema[id_col].dataType.simpleString()
-    out = docs.select(F.col(id_col), scored(model, F.col(text_col), kind).alias("s"))
-    return out.select(id_col, "s.score", (F.col("s.score") >= at).cast("int").alias("predicted"), "s.evidence")
+def scored(model: Model, text: Column) -> Column:
+    """The score alone, as a column of text."""
+
+    @F.pandas_udf("double")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            yield pd.Series([g[0] for g in model.scores([x or "" for x in s])], dtype="float64")
+        model.known.reset()
+
+    return run(text)
 
 
 def keep_clean(docs: DataFrame, model: Model, at: float = 0.7, text_col: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, whose score is under `at`."""
     base.prepare(docs.sparkSession)
-    return docs.where(scored(model, F.col(text_col))["score"] < at)
+    return docs.where(scored(model, F.col(text_col)) < at)
