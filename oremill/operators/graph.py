@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from oremill.plans.scratch import store
+from oremill.plans.scratch import drop, store
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -26,9 +26,11 @@ def adjacency(edges: DataFrame) -> DataFrame:
 def pagerank(adj: DataFrame, seeds: DataFrame, restart: float = 0.5, iterations: int = 50, tolerance: float = 1e-6, least: float = 1e-10, fixed: bool = False) -> DataFrame:
     """Personalised PageRank from weighted seeds (id, weight): id, score. Mass at vertices without edges is dropped.
 
-    Shares of out-weights are joined once; a step is one join and one aggregation. fixed: run all iterations."""
-    total = F.sum("weight").over(Window.partitionBy("source"))
-    shares = store(adj.where("weight > 0").withColumn("share", F.col("weight") / total).select("source", "target", "share"), "shares")
+    A step is one join and one aggregation; the scores of the step before are dropped. fixed: run all iterations."""
+    some = adj.where("weight > 0")
+    # out-weights by partial sums and a join: a window would put all edges of a hot vertex in one task
+    total = some.groupBy("source").agg(F.sum("weight").alias("total"))
+    shares = store(some.join(total, "source").select("source", "target", (F.col("weight") / F.col("total")).alias("share")), "shares")
     positive = seeds.where("weight > 0")
     mass = positive.agg(F.sum("weight")).first()[0]
     if not mass:
@@ -44,6 +46,7 @@ def pagerank(adj: DataFrame, seeds: DataFrame, restart: float = 0.5, iterations:
             if (moved or 0.0) < tolerance:
                 scores = new
                 break
+        drop(scores)
         scores = new
     return scores.where(F.col("score") > least)
 
@@ -116,7 +119,9 @@ def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
         new = store(spread.join(jump, "to", "left").select("id", "old", F.coalesce("next", "to").alias("component")), "labels")
         if new.where("component <> old").isEmpty():
             return new.select("id", "component")
-        labels = new.select("id", "component")
+        drop(labels, spread)
+        labels = store(new.select("id", "component"), "labels")
+        drop(new)
 
 
 def degree(edges: DataFrame) -> DataFrame:
