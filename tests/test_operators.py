@@ -1,9 +1,11 @@
+import datetime as dt
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from oremill.operators import access, chunking, context, governance, graph, intent, knowledge, memory, ontology, resolution, retrieval, upsert
+from oremill.operators import access, answers, chunking, context, governance, graph, intent, knowledge, memory, ontology, resolution, retrieval, upsert
+from oremill.plans import scratch
 
 
 def frame(spark, rows, schema):
@@ -198,3 +200,31 @@ def test_resolution_of_all_entities_and_short_names(spark):
     rows = [("a", "HP", "organization"), ("b", "h.p", "organization"), ("c", "HQ", "organization"), ("d", "--", "organization"), ("e", "!", "organization"), ("f", "Jonathan Bartholomew Montgomery Smithson 7", "person"), ("g", "Jonathan Bartholomew Montgomery Smithsons 7", "person"), ("h", "Jonathan Bartholomew Montgomery Smithson 8", "person")]
     got = {r["id"]: r["canonical_id"] for r in resolution.resolve(frame(spark, rows, "id string, name string, type string")).collect()}
     assert got == {"a": "a", "b": "a", "c": "c", "d": "d", "e": "e", "f": "f", "g": "f", "h": "h"}
+
+
+def test_small_memory_operators(spark):
+    old = frame(spark, [(1, "Ada likes tea", [1.0, 0.0]), (2, "Bob likes tea", [0.0, 1.0]), (3, "Ada likes rain", [0.9, 0.1])], "id long, content string, embedding array<double>")
+    new = frame(spark, [(7, "Ada hates tea", [1.0, 0.0])], "new_id long, content string, embedding array<double>")
+    judge = lambda a, b: a.split()[0] == b.split()[0] and a.split()[2] == b.split()[2]
+    assert [tuple(r) for r in memory.contradictions(old, new, judge).collect()] == [(7, 1)]
+    assert memory.has_any(old) and not memory.has_any(old.limit(0)) and memory.history(old, 2).count() == 1
+    with pytest.raises(ValueError):
+        memory.correct(frame(spark, [], "id string, category string, status string, content string, invalid_at timestamp"), spark.range(5).select(F.col("id").cast("string").alias("wrong")), dt.datetime(2024, 1, 1), most=3)
+    merged = frame(spark, [("indexed,memory",), ("memory",), ("graph",)], "modes string")
+    assert tuple(retrieval.counters(merged).first()) == (3, 1, 1, 2, 1)
+
+
+def test_anchors_of_common_names(spark):
+    """Equal names first, then prefixes, then names that hold it; at most k of each name."""
+    rows = [(f"e{i:03}", "red widget" if i == 50 else f"red widget {i}" if i % 2 else f"old red widget {i}") for i in range(100)]
+    found = answers.anchors(frame(spark, [(1, "Tell me about red widget")], "id int, query string"), frame(spark, rows, "id string, name string"), 3)
+    assert sorted((r["entity_id"], float(r["score"])) for r in found.collect()) == [("e001", 0.88), ("e003", 0.88), ("e050", 1.0)]
+
+
+def test_scratch_needs_a_shared_folder(spark, monkeypatch):
+    class Cluster:
+        conf = type("C", (), {"get": staticmethod(lambda *a: None)})
+        sparkContext = type("S", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(RuntimeError):
+        scratch.root(Cluster)
