@@ -93,17 +93,22 @@ class Terms:
         self.word = {t: i for t, i in at.items() if t[-1] not in (STEMMED, TWICE)}
         self.stem = {t[:-1]: i for t, i in at.items() if t[-1] == STEMMED}
         self.twice = np.array([at.get(t + TWICE, -1) for t in vocabulary], np.int64)
+        self.both = base.Memo(self._both)
 
     def counts(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of the terms in a text, and in how many places each is."""
         c = Counter(words_of(text))
-        words, n = list(c), np.fromiter(c.values(), np.int64, len(c))
-        w = np.fromiter(map(self.word.get, words, repeat(-1)), np.int64, len(words))
-        s = np.fromiter(map(self.stem.get, [x[:STEM] if len(x) > STEM else None for x in words], repeat(-1)), np.int64, len(words))
+        both, n = np.fromiter(map(self.both.__getitem__, c), np.int64, len(c)), np.fromiter(c.values(), np.int64, len(c))
+        w, s = (both >> 32) - 1, (both & 0xFFFFFFFF) - 1
         stems, of = np.unique(s[s >= 0], return_inverse=True)
-        t, n = np.r_[w[w >= 0], stems], np.r_[n[w >= 0], np.bincount(of, n[s >= 0], len(stems)).astype(np.int64)]
-        again = (n > 1) & (self.twice[t] >= 0)
-        return np.r_[t, self.twice[t[again]]], np.r_[n, n[again] - 1]
+        t, n = np.concatenate([w[w >= 0], stems]), np.concatenate([n[w >= 0], np.bincount(of, n[s >= 0], len(stems)).astype(np.int64)])
+        second = self.twice[t]
+        again = (n > 1) & (second >= 0)
+        return np.concatenate([t, second[again]]), np.concatenate([n, n[again] - 1])
+
+    def _both(self, word: str) -> int:
+        """The numbers of a word (high) and of its stem (low), each plus one; 0 for none."""
+        return (self.word.get(word, -1) + 1 << 32) + (self.stem.get(word[:STEM], -1) + 1 if len(word) > STEM else 0)
 
 
 _TERMS: dict[bytes, Terms] = {}
@@ -175,6 +180,12 @@ class Index:
         self.term_of, self.weight_of = np.concatenate([vectors[i][0] for i in order] or [np.zeros(0, np.int64)]), np.concatenate([vectors[i][1] for i in order] or [np.zeros(0)])
         self.query = np.zeros(size)
 
+    def in_full(self, rows: np.ndarray) -> np.ndarray:
+        """The cosines of rows with the vector laid out in `query`."""
+        n = self.size[rows]
+        at = _ranges(self.begin[rows], n)
+        return np.bincount(np.repeat(np.arange(len(rows)), n), self.query[self.term_of[at]] * self.weight_of[at], len(rows))
+
     def search(self, t: np.ndarray, w: np.ndarray, k: int = K, without: int = -1, light: float = LIGHT) -> tuple[np.ndarray, np.ndarray]:
         """Rows and cosines of the k nearest with a cosine over 0, nearest first."""
         return self.search_all([(t, w)], k, [without], light)[0]
@@ -227,10 +238,14 @@ class Index:
                 if len(rows) < k:  # light terms alone may make a neighbour
                     out.append(self.search(t, w, k, without[q] if without else -1, 0.0))
                     continue
+                # in full: first those that seem the nearest, then those that their k-th still leaves room for
                 self.query[t] = w
-                n = self.size[rows]
-                at_term = _ranges(self.begin[rows], n)
-                scores = np.bincount(np.repeat(np.arange(len(rows)), n), self.query[self.term_of[at_term]] * self.weight_of[at_term], len(rows))
+                seem = np.argsort(-scores, kind="stable")
+                top, other = seem[:k], seem[k:]
+                exact = self.in_full(rows[top])
+                other = other[scores[other] + rest[q] >= exact.min() - 1e-9]
+                scores = np.concatenate([exact, self.in_full(rows[other])])
+                rows = rows[np.concatenate([top, other])]
                 self.query[t] = 0
             keep = np.lexsort((rows, -np.round(scores, 9)))[:k]
             out.append((rows[keep], scores[keep]))
