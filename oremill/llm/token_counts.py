@@ -117,9 +117,9 @@ class Words:
         mark = (lambda t: t[: -len(end)] + self.END if end and t.endswith(end) else t)
         pairs = [(mark(a), mark(b)) for a, b in merges]
         self.merges = Merges(pairs)
-        self.tokens = {a + b for a, b in pairs} | {t for t in map(mark, vocabulary) if len(t.rstrip(self.END)) == 1}
+        self.tokens = {t: t for t in (*(a + b for a, b in pairs), *(t for t in map(mark, vocabulary) if len(t.rstrip(self.END)) == 1))}  # one string of each, for states and memos
         self.begins = {t[:i] for t in self.tokens for i in range(len(t)) if t[i] != self.END}
-        self.follows = base.Memo(self._follows, 400_000, 1 << 30)
+        self.follows, self.states = base.Memo(self._follows, 400_000, 1 << 30), {}
         self.reset()
 
     def symbols(self, t: str) -> list[str]:
@@ -127,6 +127,8 @@ class Words:
         return [*t[:-2], t[-2:]] if t.endswith(self.END) else list(t)
 
     def reset(self) -> None:
+        for state in self.states.values():  # one that is in use would else keep all that it leads to
+            state.next = {}
         self.start = State("", ((0, "", 0),))
         self.states = {("", self.start.window): self.start}
         self.follows.reset()
@@ -147,8 +149,8 @@ class Words:
         text = state.suffix + symbol
         # the one token that ends here and follows what is before it
         for i, last, count in state.window:
-            token = text[i:]
-            if token in self.tokens and self.follows[last, token]:
+            token = self.tokens.get(text[i:])
+            if token is not None and self.follows[last, token]:
                 break
         else:  # a byte's stand-in is always a token
             raise ValueError(f"no token ends at {text!r}")
@@ -161,7 +163,7 @@ class Words:
         key = text[keep:], tuple((i - keep, last, n - least) for i, last, n in window)
         to = self.states.get(key)
         if to is None:
-            if len(self.states) >= STATES:  # states in use live on, the table begins anew
+            if len(self.states) >= STATES:  # states in use live on alone, the table begins anew
                 self.reset()
             to = self.states[key] = State(*key)
         return to, least
@@ -195,7 +197,11 @@ class Transducer:
         self.kind = base.Memo(self._kind, 1 << 21, 1 << 22)
         self.word = base.Memo(self._word)
         self.emitted = base.Memo(self._fragment)
-        self.boundary = Reading(FRESH, "", self.words.start, "")
+
+    @property
+    def boundary(self) -> Reading:
+        """The state at a word's boundary, of the table in use: to hold one would keep every state since."""
+        return Reading(FRESH, "", self.words.start, "")
 
     def _kind(self, c: str) -> int:
         """A character's class, by how the tokenizer splits it from a letter and from a mark."""

@@ -1,6 +1,7 @@
 """Exact deduplication, tokenizers, packing, sharding and URL rules against brute force."""
 
 import collections
+import gc
 import hashlib
 import io
 import random
@@ -148,6 +149,20 @@ def test_transitions_emit_what_is_certain():
             t.words.states.clear()
 
 
+def test_states_of_old_tables_are_let_go(monkeypatch):
+    """A reading of the first table led to every state made since: the bound on states was none."""
+    monkeypatch.setattr(token_counts, "STATES", 200)
+    gc.collect()
+    before = sum(type(x) is token_counts.State for x in gc.get_objects())
+    t = token_counts.Transducer(open(WORD, encoding="utf-8").read())
+    library = Tokenizer.from_file(WORD)
+    r = random.Random(6)
+    for _ in range(400):
+        s = " ".join("".join(r.choice("aeinorst'!7") for _ in range(r.randint(1, 25))) for _ in range(5))
+        assert t.count(s) == len(library.encode(s, add_special_tokens=False).ids) == t.count(s, chunk=7)
+    assert sum(type(x) is token_counts.State for x in gc.get_objects()) - before <= 2 * 200
+
+
 def test_long_word_merges():
     t = token_counts.Transducer(open(WORD, encoding="utf-8").read())
     library = Tokenizer.from_file(WORD)
