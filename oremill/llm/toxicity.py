@@ -67,8 +67,8 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label
     return base.store(own.join(F.broadcast(base.store(ids, "example-ids")), "id").groupBy("id", "y").agg(F.min("text").alias("text")), "examples")  # 2 * EXAMPLES ids at most
 
 
-def counted(examples: DataFrame) -> tuple[list[str], list[tuple]]:
-    """The terms of all examples, and of each example by id: id, y, its terms' numbers and counts."""
+def counted(examples: DataFrame) -> tuple[str, int, list[tuple]]:
+    """The terms of all examples (a line each, see Terms), how many they are, and of each example by id: id, y, its terms' numbers and counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -77,22 +77,24 @@ def counted(examples: DataFrame) -> tuple[list[str], list[tuple]]:
 
     kind = examples.schema["id"].dataType.simpleString()
     table = base.map_arrow(examples.select("id", "y", "text"), run, f"id {kind}, y int, terms array<string>, n array<long>").toArrow()  # 2 * EXAMPLES rows at most
-    at: dict[str, int] = {}
-    rows = []
-    for i in pc.sort_indices(table["id"]).to_pylist():
-        numbers = np.array([at.setdefault(t, len(at)) for t in table["terms"][i].as_py()], np.int64)
-        rows.append((table["id"][i].as_py(), table["y"][i].as_py(), numbers, np.array(table["n"][i].as_py(), np.int64)))
-    return list(at), rows
+    # terms are numbered in Arrow, as they first come: as Python strings they would take the driver's memory
+    table = table.take(pc.sort_indices(table["id"])).combine_chunks()
+    terms = table["terms"].combine_chunks()
+    ends = (terms.offsets.to_numpy() - terms.offsets[0].as_py())[1:-1]
+    coded = terms.flatten().dictionary_encode()
+    numbers, n = np.split(coded.indices.to_numpy(), ends), np.split(table["n"].combine_chunks().flatten().to_numpy().astype(np.int32), ends)
+    rows = list(zip(table["id"].to_pylist(), table["y"].to_pylist(), numbers, n, strict=True)) if len(table) else []
+    return "\n".join(coded.dictionary.to_pylist()), len(coded.dictionary), rows
 
 
 class Terms:
-    """Texts to term numbers."""
+    """Texts to term numbers. vocabulary: the terms, a line each (none holds a line's end)."""
 
-    def __init__(self, vocabulary: list[str]):
-        at = {t: i for i, t in enumerate(vocabulary)}
+    def __init__(self, vocabulary: str):
+        at = {t: i for i, t in enumerate(vocabulary.split("\n") if vocabulary else [])}
         self.word = {t: i for t, i in at.items() if t[-1] not in (STEMMED, TWICE)}
         self.stem = {t[:-1]: i for t, i in at.items() if t[-1] == STEMMED}
-        self.twice = np.array([at.get(t + TWICE, -1) for t in vocabulary], np.int64)
+        self.twice = np.array([at.get(t + TWICE, -1) for t in at], np.int64)
         self.both = base.Memo(self._both)
 
     def counts(self, text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -114,11 +116,11 @@ class Terms:
 _TERMS: dict[bytes, Terms] = {}
 
 
-def key_of(vocabulary: list[str]) -> bytes:
-    return hashlib.sha256("\n".join(vocabulary).encode()).digest()
+def key_of(vocabulary: str) -> bytes:
+    return hashlib.sha256(vocabulary.encode()).digest()
 
 
-def terms(key: bytes, vocabulary: list[str]) -> Terms:
+def terms(key: bytes, vocabulary: str) -> Terms:
     """The Terms of the vocabulary with this key_of, one at a time a process."""
     if key not in _TERMS:
         _TERMS.clear()
@@ -126,12 +128,12 @@ def terms(key: bytes, vocabulary: list[str]) -> Terms:
     return _TERMS[key]
 
 
-def document_frequencies(docs: DataFrame, vocabulary: list[str], text_col: str) -> tuple[int, np.ndarray]:
+def document_frequencies(docs: DataFrame, vocabulary: str, size: int, text_col: str) -> tuple[int, np.ndarray]:
     """The number of documents and how many hold each term: over all rows, summed in the tasks first."""
     key = key_of(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t, n, total = terms(key, vocabulary), np.zeros(len(vocabulary), np.int64), 0
+        t, n, total = terms(key, vocabulary), np.zeros(size, np.int64), 0
         known = base.Memo(lambda x: t.counts(x)[0], REMEMBERED, 4_000_000, 100_000)  # equal texts are split once
         for b in batches:
             for text in b.column(0).to_pylist():
@@ -142,7 +144,7 @@ def document_frequencies(docs: DataFrame, vocabulary: list[str], text_col: str)
 
     table = base.map_arrow(docs.select(F.col(text_col).alias("text")), run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # one row a term
     term, n = (table[c].to_numpy().astype(np.int64) for c in ("term", "n"))
-    out = np.zeros(len(vocabulary), np.int64)
+    out = np.zeros(size, np.int64)
     out[term[term >= 0]] = n[term >= 0]
     return int(n[term < 0].sum()), out
 
@@ -153,32 +155,52 @@ def _ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 class Index:
-    """Block-max inverted index over unit vectors (term numbers under `size`, weights)."""
+    """Block-max inverted index over unit vectors (term numbers under `size`, weights).
+
+    The vectors are what is kept and sent; postings and bounds follow from them, where it is first searched (open), until close()."""
 
     def __init__(self, size: int, vectors: list[tuple[np.ndarray, np.ndarray]], ids: list, y: np.ndarray):
         lead = [(int(t[np.argmax(w)]), -float(w.max())) if len(t) else (size, 0.0) for t, w in vectors]  # by the heaviest term
         order = sorted(range(len(vectors)), key=lambda i: (lead[i], i))
         self.ids, self.y = [ids[i] for i in order], y[order]
         self.blocks = max(1, -(-len(order) // BLOCK))
-        term = np.concatenate([vectors[i][0] for i in order] or [np.zeros(0, np.int64)])
-        weight = np.concatenate([vectors[i][1] for i in order] or [np.zeros(0)])
-        row = np.repeat(np.arange(len(order)), [len(vectors[i][0]) for i in order])
-        by = np.lexsort((row, term))
-        term, self.row, self.weight = term[by], row[by], weight[by]
-        # a cell is a term's postings in a block
-        cell = term * self.blocks + self.row // BLOCK
-        first = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]) if len(cell) else np.zeros(0, np.int64)
-        self.start, self.count = first, np.diff(np.r_[first, len(cell)])
-        self.block = self.row[first] // BLOCK
-        self.most = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0)
-        self.cells = np.searchsorted(term[first], np.arange(size + 1))
-        self.top = np.zeros(size)
-        np.maximum.at(self.top, term, self.weight)
-        # the vectors themselves, for the exact scores of candidates
+        self.terms = size
         self.size = np.array([len(vectors[i][0]) for i in order], np.int64)
         self.begin = np.r_[0, np.cumsum(self.size)[:-1]] if len(order) else np.zeros(0, np.int64)
-        self.term_of, self.weight_of = np.concatenate([vectors[i][0] for i in order] or [np.zeros(0, np.int64)]), np.concatenate([vectors[i][1] for i in order] or [np.zeros(0)])
-        self.query = np.zeros(size)
+        self.term_of, self.weight_of = np.concatenate([vectors[i][0] for i in order] or [np.zeros(0)]).astype(np.int32), np.concatenate([vectors[i][1] for i in order] or [np.zeros(0)])
+        self.close()
+
+    def close(self) -> None:
+        self.row = self.weight = self.start = self.count = self.block = self.most = self.cells = self.top = self.query = None
+
+    def __getstate__(self) -> dict:
+        return {k: getattr(self, k) for k in ("ids", "y", "blocks", "terms", "size", "begin", "term_of", "weight_of")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.close()
+
+    def open(self) -> None:
+        by = np.argsort(self.term_of, kind="stable")  # rows rise within a term
+        term, self.weight = self.term_of[by], self.weight_of[by]
+        self.row = np.repeat(np.arange(len(self.size), dtype=np.int32), self.size)[by]
+        del by
+        # a cell is a term's postings in a block
+        block = self.row // BLOCK
+        new = np.ones(len(term), bool)
+        new[1:] = (term[1:] != term[:-1]) | (block[1:] != block[:-1])
+        first = np.flatnonzero(new)
+        self.block, self.start, self.count = block[first], first.astype(np.int32), np.diff(np.r_[first, len(term)]).astype(np.int32)
+        self.most = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0)
+        self.cells = np.searchsorted(term[first], np.arange(self.terms + 1, dtype=np.int32))
+        self.top = np.zeros(self.terms)
+        np.maximum.at(self.top, term[first], self.most)
+        self.query = np.zeros(self.terms)
+
+    def vector(self, row: int) -> tuple[np.ndarray, np.ndarray]:
+        """A row's terms and weights."""
+        at = slice(self.begin[row], self.begin[row] + self.size[row])
+        return self.term_of[at], self.weight_of[at]
 
     def in_full(self, rows: np.ndarray) -> np.ndarray:
         """The cosines of rows with the vector laid out in `query`."""
@@ -195,6 +217,8 @@ class Index:
 
         Terms of a query that together can add no more than `light` wait (`rest`): the others find candidates, whose cosines are then
         taken in full. Of the blocks, the WAVE of highest bounds are scored first, then all those whose bounds reach the k-th best."""
+        if self.row is None:
+            self.open()
         m, all_rows = len(queries), len(self.ids)
         rest, parts = np.zeros(m), []
         for q, (t, w) in enumerate(queries):
@@ -253,7 +277,7 @@ class Index:
 
 
 class Model:
-    def __init__(self, vocabulary: list[str], total: int, df: np.ndarray, relevance: np.ndarray):
+    def __init__(self, vocabulary: str, total: int, df: np.ndarray, relevance: np.ndarray):
         self.key, self.vocabulary, self.weight = key_of(vocabulary), vocabulary, (1 + np.log((total + 1) / (df + 1))) * np.maximum(relevance, LEAST) ** 2
         self.index, self.prior, self.flat, self.slope, self.shift = None, 0.0, 0.0, 1.0, 0.0
         self.known = base.Memo(None, REMEMBERED, 4_000_000, 100_000)  # texts that were just scored
@@ -263,28 +287,29 @@ class Model:
         return t, w / max(np.sqrt(w @ w), 1e-300)
 
     def fit(self, rows: list[tuple], share: float) -> None:
-        """rows: id, terms, weights, y. share: of label 1 among all labelled rows."""
+        """rows: id, terms, weights, y; emptied, as the index holds them. share: of label 1 among all labelled rows."""
         y = np.array([r[3] for r in rows], np.float64)
-        self.index = Index(len(self.vocabulary), [(r[1], r[2]) for r in rows], [r[0] for r in rows], y)
+        self.index = Index(len(self.weight), [(r[1], r[2]) for r in rows], [r[0] for r in rows], y)
         ones = min(max(y.mean(), 1e-9), 1 - 1e-9)
         self.prior = ones
-        by_id = {r[0]: r for r in rows}
+        empty_y = [r[3] for r in rows if not len(r[1])]
+        rows.clear()
         vote, weight, label = [], [], []
         empty = np.zeros(2)
         of = np.array([(1 - share) / (1 - ones), share / ones])
-        order = [i for i, k in enumerate(self.index.ids) if len(by_id[k][1])]
+        order = np.flatnonzero(self.index.size).tolist()
         for at in range(0, len(order), TOGETHER):
             some = order[at : at + TOGETHER]
-            for i, near in zip(some, self.index.search_all([by_id[self.index.ids[i]][1:3] for i in some], without=some), strict=True):
+            for i, near in zip(some, self.index.search_all([self.index.vector(i) for i in some], without=some), strict=True):
                 vote.append(self.vote(*near))
-                label.append(by_id[self.index.ids[i]][3])
+                label.append(int(self.index.y[i]))
                 weight.append(of[label[-1]])
-        for r in rows:
-            if not len(r[1]):
-                empty[r[3]] += of[r[3]]
+        for k in empty_y:
+            empty[k] += of[k]
         self.flat = (empty[1] + share * SMOOTH) / (empty.sum() + SMOOTH)
         if len(set(label)) == 2:
             self.slope, self.shift = logistic(logit(np.array(vote)), np.array(label), np.array(weight))
+        self.index.close()
 
     def vote(self, rows: np.ndarray, cosines: np.ndarray) -> float:
         w = cosines**2
@@ -345,15 +370,17 @@ def chi_square(rows: list[tuple], size: int) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """labels: id and label of the rows that may be learned from."""
     examples = sample(docs, labels, id_col, text_col, label_col)
-    vocabulary, rows = counted(examples)
+    vocabulary, size, rows = counted(examples)
     base.drop(examples)
+    pa.default_memory_pool().release_unused()
     share = float(labels.where(F.col(label_col).isin(0, 1)).agg(F.avg(label_col)).first()[0] or 0.0)
     if len({r[1] for r in rows}) < 2:
-        model = Model([], 0, np.zeros(0), np.zeros(0))
+        model = Model("", 0, np.zeros(0), np.zeros(0))
         model.flat = share
         return model
-    model = Model(vocabulary, *document_frequencies(docs, vocabulary, text_col), chi_square(rows, len(vocabulary)))
-    model.fit([(i, *model.weighted(t, n), y) for i, y, t, n in rows], share)
+    model = Model(vocabulary, *document_frequencies(docs, vocabulary, size, text_col), chi_square(rows, size))
+    rows = [(i, *model.weighted(t, n), y) for i, y, t, n in rows]
+    model.fit(rows, share)
     return model
 
 
