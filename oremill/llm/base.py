@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from oremill.plans.scratch import clear, drop, store  # noqa: F401
+from oremill.plans.scratch import clear, discard, drop, noted, store  # noqa: F401
 from oremill.plans.shipping import ship
 
 #: Rows in one Arrow batch sent to Python: at 20,000 words a row this stays near 100 MB.

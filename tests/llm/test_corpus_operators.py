@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import os
 import pickle
 import random
 import re
@@ -12,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from oremill.llm import fingerprint, minhash, quality, queries, toxicity
+from oremill.llm import base, fingerprint, minhash, quality, queries, toxicity
 from tests.llm.conftest import LONG, ROWS
 
 SF = "/root/testdata/sf0.01"
@@ -366,3 +367,32 @@ def test_pipeline(spark, tmp_path):
             seen.append(len(kept))
     assert {r["doc_id"] for r in out.collect()} == set(kept) and seen[-1] < seen[0]
     assert corpus_pipeline.run(spark, sf).count() == out.count()
+
+
+def scratch(spark):
+    """The names of the stored tables in the shared folder."""
+    at = spark.conf.get("spark.checkpoint.dir").removeprefix("file://") + "/oremill"
+    return {x.rsplit("-", 1)[0]: x for x in os.listdir(at)} if os.path.isdir(at) else {}
+
+
+def test_pipeline_stages_free_what_the_stage_before_left(spark, tmp_path):
+    sf = "/root/testdata/sf0.001"
+    base.clear()
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for i, (name, stage) in enumerate(corpus_pipeline.STAGES[:4]):
+        before, out = set(scratch(spark).values()), stage(spark, docs, sf)
+        out.write.parquet(f"file://{tmp_path}/{i}")
+        docs = spark.read.parquet(f"file://{tmp_path}/{i}")
+        assert not before & set(scratch(spark).values()), name
+    assert set(scratch(spark)) == {"numbered", "rows", "first"}
+    # a result that is passed on as it is keeps what it reads
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        docs = stage(spark, docs, sf)
+    assert docs.count() == spark.read.parquet(f"file://{tmp_path}/3").count()
+
+
+def test_near_duplicates_leave_their_result_only(spark):
+    base.clear()
+    got = minhash.near_duplicates(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
+    assert set(scratch(spark)) == {"rows", "sizes"} and got.count() == 200
