@@ -203,6 +203,27 @@ def test_block_max_search_is_exact():
             assert rows.tolist() == want and np.allclose(cosines, scores[want])
 
 
+def test_search_misses_no_row_of_light_terms_alone():
+    """Sixteen rows with next to nothing in common used to hide a nearer one that shares a light term only."""
+    unit = lambda x: (np.array([0, 2]), np.array([x, np.sqrt(1 - x * x)]))
+    vectors = [unit(0.5), *[unit(0.001) for _ in range(20)], (np.array([1]), np.ones(1))]
+    index = toxicity.Index(3, vectors, list(range(22)), np.zeros(22))
+    rows, cosines = index.search(np.array([0, 1]), np.array([np.sqrt(1 - 0.0001), 0.01]), light=0.02)
+    assert [index.ids[r] for r in rows[:2]] == [0, 21] and len(rows) == 16 and cosines[1] == pytest.approx(0.01)
+
+
+def test_toxicity_terms_of_any_character():
+    signs = [chr(c) for c in range(0x3000) if not 0xD800 <= c < 0xE000]
+    for text in ["".join(f"a{x}B" for x in signs[:256]), *(f"a{x}bc {x}" for x in signs)]:
+        assert toxicity.words_of(text) == re.findall(r"\w+", text.lower())
+    every = toxicity.terms_of("short longer longest longer Stemmed stemmer ünïcödé ünïcö")
+    there = toxicity.Terms("\n".join(every))
+    for text in ("longer short other", "longes stemming stemming longer longer", "Ünïcödés ünïcö 中文", ""):
+        known = {k: n for k, n in toxicity.terms_of(text).items() if k in every}
+        t, n = there.counts(text)
+        assert dict(zip(t.tolist(), n.tolist(), strict=True)) == {list(every).index(k): c for k, c in known.items()}
+
+
 def test_toxicity_index_is_sent_without_what_follows_from_it():
     """Postings, bounds and a list of terms beside the vectors took the driver's memory: 51 bytes a posting."""
     r = np.random.default_rng(5)
